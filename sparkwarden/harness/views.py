@@ -6,9 +6,13 @@ Every view derives from whole tables.  ``SQL`` holds the same definitions for th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.session import stored
+
 REPO = "tpch"
 
 
@@ -49,7 +53,20 @@ def _ids() -> dict[str, Column]:
     }
 
 
+def _key(sf: str) -> str:
+    return re.sub(r"[^A-Za-z0-9.]+", "_", sf).strip("_")
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The graph is stored once per application, as its users find it stored in a database."""
+    return stored(spark, f"{_key(sf)}/nodes", lambda: derive_nodes(spark, sf))
+
+
+def relations(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, f"{_key(sf)}/relations", lambda: derive_relations(spark, sf))
+
+
+def derive_nodes(spark: SparkSession, sf: str) -> DataFrame:
     i = _ids()
 
     def rows(name: str, node_id: Column, label: str, title: Column, path: Column | None, start: Column | None,
@@ -76,7 +93,7 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def relations(spark: SparkSession, sf: str) -> DataFrame:
+def derive_relations(spark: SparkSession, sf: str) -> DataFrame:
     i = _ids()
     t = lambda n: table(spark, sf, n)
     cust = t("customer").select("c_custkey", "c_nationkey", i["customer"].alias("cust_id"), i["seg"].alias("cust_path"))
@@ -194,3 +211,72 @@ def with_views(statement: str, *names: str, recursive: bool = False) -> str:
     body = statement.strip()
     joint = "" if body.startswith(",") else "\n"
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}{joint}{body}"
+
+
+def hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as rule hits in long form."""
+    s = F.col("l_suppkey")
+    folder = F.when(s % 10 == 0, "node_modules/s").when(s % 10 == 1, "docs/s").otherwise("src/s")
+    return table(spark, sf, "lineitem").select(
+        F.concat(folder, s.cast("string"), F.lit(".py")).alias("file_path"), F.col("l_orderkey").cast("int").alias("line"),
+        F.when(F.col("l_linenumber") == 7, "py/unused-import").otherwise(_text("rule-", _c("l_linenumber"))).alias("rule_id"),
+        F.when(F.col("l_discount") < 0.02, "quality").when(F.col("l_tax") > 0.04, "hardcoded_secret").otherwise("other").alias("category"),
+        F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "warning").otherwise("info").alias("severity"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+def model_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Expensive orders as layer-2 results."""
+    return table(spark, sf, "orders").filter(F.col("o_totalprice") > 400000).select(
+        _text("Function:src/s", F.col("o_custkey") % 100, ".py:f", _c("o_orderkey")).alias("file_path"), "o_orderkey",
+        F.struct(F.lit(True).alias("ok"), F.col("o_orderpriority").alias("severity")).alias("result"))
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """Scan results: one layer-1 item per order (its lines are the findings) and the layer-2 items."""
+    h = hits(spark, sf).groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("line", "rule_id", "category", "severity", "l_suppkey"))).alias("x"))
+    path = F.expr("""CASE WHEN l_orderkey % 11 = 0 THEN 'tests/o' WHEN l_orderkey % 11 = 1 THEN '' ELSE 'src/o' END""")
+    rules = F.transform("x", lambda r: F.struct(r["line"].alias("line"), F.array(F.struct(
+        r["rule_id"].alias("rule_id"), r["rule_id"].alias("name"), r["category"].alias("category"), r["severity"].alias("severity"))).alias("rules")))
+    first = h.select(
+        F.when(path == "", "").otherwise(F.concat(path, (F.col("l_orderkey") % 500).cast("string"), F.lit(".py"))).alias("file_path"),
+        rules.alias("findings"), F.lit(1).alias("layer"), F.col("l_orderkey").alias("seq"))
+    second = model_hits(spark, sf).select("file_path", "result", F.lit(2).alias("layer"), F.col("o_orderkey").alias("seq"))
+    return first.unionByName(second, allowMissingColumns=True)
+
+
+def code_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files written from the sales tables: Python per order and customer, script per supplier."""
+    order = table(spark, sf, "orders").select(_text("ord/o", _c("o_orderkey"), ".py").alias("file_path"), _text(
+        "import cust.c", _c("o_custkey"), "\n\ndef o", _c("o_orderkey"), "(request):\n    return c", _c("o_custkey"), "(request)\n").alias("content"))
+    customer = table(spark, sf, "customer").select(_text("cust/c", _c("c_custkey"), ".py").alias("file_path"), _text(
+        "def c", _c("c_custkey"), "(request):\n    return eval(request.args)\n").alias("content"))
+    supplier = table(spark, sf, "supplier").select(_text("sup/s", _c("s_suppkey"), ".js").alias("file_path"), _text(
+        "const x = require('./s", F.col("s_suppkey") + 1, "')\nfunction s", _c("s_suppkey"), "(req) {\n  return c", _c("s_suppkey"),
+        "(req.body)\n}\nexports.t", _c("s_suppkey"), " = function() { return Math.random() }\n").alias("content"))
+    every = order.unionByName(customer).unionByName(supplier)
+    return every.select(F.lit("shop").alias("repo"), "file_path", "content")
+
+
+SQL["hits"] = """
+SELECT CASE WHEN l_suppkey % 10 = 0 THEN 'node_modules/s' WHEN l_suppkey % 10 = 1 THEN 'docs/s' ELSE 'src/s' END || l_suppkey || '.py' AS file_path, l_orderkey::INTEGER AS line,
+  CASE WHEN l_linenumber = 7 THEN 'py/unused-import' ELSE 'rule-' || l_linenumber END AS rule_id,
+  CASE WHEN l_discount < 0.02 THEN 'quality' WHEN l_tax > 0.04 THEN 'hardcoded_secret' ELSE 'other' END AS category,
+  CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem"""
+SQL["model_hits"] = """
+SELECT 'Function:src/s' || (o_custkey % 100) || '.py:f' || o_orderkey AS file_path, o_orderkey, o_orderpriority AS severity FROM orders WHERE o_totalprice > 400000"""
+SQL["kept_hits"] = """
+SELECT *, CASE severity WHEN 'critical' THEN 4 WHEN 'warning' THEN 2 ELSE 0 END AS rank,
+  (severity IN ('critical', 'error', 'warning') AND NOT contains(rule_id, 'unused-import') AND category <> 'quality' AND (category = 'hardcoded_secret' OR severity IN ('critical', 'error'))) AS important FROM hits"""
+SQL["item_rows"] = """
+SELECT CASE WHEN l_orderkey % 11 = 1 THEN '' ELSE CASE WHEN l_orderkey % 11 = 0 THEN 'tests/o' ELSE 'src/o' END || (l_orderkey % 500) || '.py' END AS file_path,
+  1 AS layer, l_orderkey AS seq, count(*) AS n, count(*) FILTER (important) AS kept, bool_or(severity NOT IN ('info', 'low', 'none', '')) AS high FROM kept_hits GROUP BY l_orderkey
+UNION ALL SELECT file_path, 2, o_orderkey, NULL, NULL, NULL FROM model_hits"""
+_NEEDS["kept_hits"] = ("hits",)
+_NEEDS["item_rows"] = ("hits", "kept_hits", "model_hits")
+SQL["code"] = """
+SELECT 'ord/o' || o_orderkey || '.py' AS file_path, 'o' || o_orderkey AS name, 3 AS start_line, 4 AS end_line, 4 AS file_lines, ['c' || o_custkey] AS calls, 'cust/c' || o_custkey || '.py' AS imported FROM orders
+UNION ALL SELECT 'cust/c' || c_custkey || '.py', 'c' || c_custkey, 1, 2, 2, ['eval'], NULL FROM customer
+UNION ALL SELECT 'sup/s' || s_suppkey || '.js', 's' || s_suppkey, 2, 4, 5, ['s' || s_suppkey, 'c' || s_suppkey], 'sup/s' || (s_suppkey + 1) || '.js' FROM supplier
+UNION ALL SELECT 'sup/s' || s_suppkey || '.js', 't' || s_suppkey, 5, 5, 5, ['random'], NULL FROM supplier"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +27,36 @@ def build_session(master: str | None = None, app: str = "sparkwarden", **conf: s
     return builder.getOrCreate()
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the checkpoint folder the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local-mode session may fall back to a
-    folder of its own, because there the driver and the executors are one process.
+    Only a local-mode session may fall back to a folder of its own, because there the driver and
+    the executors are one process.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "sparkwarden-checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that is written once per application and read from then on."""
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
+    if path not in _WRITTEN:
+        make().write.mode("overwrite").parquet(path)
+        _WRITTEN.add(path)
+    return spark.read.parquet(path)
+
+
+_WRITTEN: set[str] = set()
