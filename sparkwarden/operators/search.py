@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -60,7 +61,7 @@ def vector_topk(vectors: DataFrame, query: Sequence[float] | Column, limit: int
     vector = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
     scored = pool.select(key, F.col(column).alias("__v")).withColumn("__q", vector).select(
         key, vx.cosine_distance("__v", "__q").alias("distance"))
-    return ranked(scored, ["distance", key], limit, key)
+    return ranked(scored, [F.asc_nulls_last("distance"), key], limit, key)
 
 
 def terms(text: Column | str) -> Column:
@@ -76,11 +77,11 @@ def fulltext_scores(records: DataFrame, query: str, key: str = "id", title: str
     Words are compared in lower case without stemming or stop words.  The query is one literal,
     so each record is scored where it lies and nothing is shuffled.
     """
-    asked = sorted({w.lower() for w in query.split() if w})
-    wanted = F.array(*[F.lit(w) for w in asked])
+    asked = sorted(set(re.findall(r"\w+", query.lower())))
+    pattern = F.lit(r"(?U)\b(?:" + "|".join(asked) + r")\b")
 
     def hits(column: str) -> Column:
-        return F.size(F.filter(terms(column), lambda t: F.array_contains(wanted, t)))
+        return F.regexp_count(F.lower(F.coalesce(F.col(column), F.lit(""))), pattern)
 
     scored = _in_years(records, year).select(
         key, (hits(title) * F.lit(TITLE_WEIGHT) + hits(body) * F.lit(BODY_WEIGHT)).alias("score"))
@@ -94,8 +95,9 @@ def fulltext_topk(records: DataFrame, query: str, limit: int = 50, **names) -> D
 
 def fulltext_topk_batch(records: DataFrame, queries: DataFrame, limit: int = 50, key: str = "id",
                         title: str = "title", body: str = "description", query_key: str = "query_id",
-                        query_text: str = "query") -> DataFrame:
-    """Many queries at once through a word join.
+                        query_text: str = "query", digits: int = 6) -> DataFrame:
+    """Many queries at once through a word join; scores are rounded to ``digits`` before ranking,
+    so that the order of additions does not decide ties.
 
     Records contribute one weighted row per distinct word, so the join side is pre-aggregated in
     place, and the score sums combine before the shuffle.
@@ -111,7 +113,8 @@ def fulltext_topk_batch(records: DataFrame, queries: DataFrame, limit: int = 50,
         .join(vocabulary, "word", "left_semi")
         .groupBy(key, "word").agg(F.sum("w").alias("w"))
     )
-    scores = words.join(asked, "word").groupBy(query_key, key).agg(F.sum("w").alias("score"))
+    scores = words.join(asked, "word").groupBy(query_key, key).agg(
+        F.round(F.sum("w"), digits).alias("score"))
     order = W.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
 
