@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import fixed_values as fv
-from sparkwarden.functions.text import ColumnLike, col, strip, words
+from sparkwarden.functions.text import ColumnLike, col, one_of, strip, words
 
 
 def parts(path: ColumnLike) -> Column:
@@ -36,7 +36,7 @@ def normalize_path(path: ColumnLike) -> Column:
 
 
 def should_scan_file(path: ColumnLike) -> Column:
-    return file_name(path).isin(*fv.SCAN_FILENAMES) | F.lower(suffix(path)).isin(*fv.SCAN_EXTENSIONS)
+    return one_of(file_name(path), fv.SCAN_FILENAMES) | one_of(F.lower(suffix(path)), fv.SCAN_EXTENSIONS)
 
 
 def should_skip_path(path: ColumnLike) -> Column:
@@ -55,32 +55,28 @@ def should_ignore_file(path: ColumnLike, strict: bool = False) -> Column:
     """
     plain = F.lower(bare_path(F.replace(col(path), F.lit("\\"), F.lit("/"))))
     hit = F.arrays_overlap(parts(plain), words(fv.IGNORED_PARTS))
-    for fragment in fv.IGNORED_FRAGMENTS:
-        if strict:
-            hit = hit | F.concat(F.lit("/"), plain).contains("/" + fragment)
-        else:
-            hit = hit | plain.contains(fragment)
-    return hit
+    fragments = "|".join(fv.IGNORED_FRAGMENTS)
+    return hit | plain.rlike(f"(?:^|/)(?:{fragments})" if strict else fragments)
 
 
 def is_nonruntime_path(path: ColumnLike) -> Column:
     name = F.lower(file_name(path))
     return (
         any_part(path, fv.NON_RUNTIME_PARTS, lower=True)
-        | name.isin(*fv.NON_RUNTIME_FILENAMES)
-        | F.lower(stem(path)).isin(*fv.NON_RUNTIME_STEMS)
+        | one_of(name, fv.NON_RUNTIME_FILENAMES)
+        | one_of(F.lower(stem(path)), fv.NON_RUNTIME_STEMS)
         | name.rlike(r"(^|[._-])(test|spec)([._-]|$)")
     )
 
 
 def is_runtime_likely_path(path: ColumnLike) -> Column:
-    return any_part(path, fv.RUNTIME_PARTS, lower=True) | F.lower(file_name(path)).isin(
-        *fv.RUNTIME_FILENAMES)
+    return any_part(path, fv.RUNTIME_PARTS, lower=True) | one_of(
+        F.lower(file_name(path)), fv.RUNTIME_FILENAMES)
 
 
 def benchmark_source_file(path: ColumnLike, length: ColumnLike) -> Column:
     """Files the repository benchmark reads."""
-    named = F.lower(suffix(path)).isin(*fv.SOURCE_EXTENSIONS) | file_name(path).isin(
+    named = one_of(F.lower(suffix(path)), fv.SOURCE_EXTENSIONS) | file_name(path).isin(
         *fv.SOURCE_FILENAMES)
     return ~any_part(path, fv.SOURCE_SKIP_PARTS) & named & (col(length) <= fv.MAX_FILE_BYTES)
 

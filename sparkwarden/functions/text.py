@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,7 +17,19 @@ def col(c: ColumnLike) -> Column:
 
 
 def words(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Array of fixed words, folded to one literal at planning."""
+    return F.split(F.lit("\u0001".join(values)), "\u0001")
+
+
+def lookup(table: Mapping[str, object], kind: str = "string") -> Column:
+    """Map of fixed entries, folded to one literal at planning."""
+    pairs = "\u0001".join(f"{k}\u0002{v}" for k, v in table.items())
+    folded = F.str_to_map(F.lit(pairs), F.lit("\u0001"), F.lit("\u0002"))
+    return folded if kind == "string" else folded.cast(f"map<string,{kind}>")
+
+
+def one_of(value: Column, values: Iterable[str]) -> Column:
+    return F.array_contains(words(values), value)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -27,14 +39,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def has_any(text: ColumnLike, tokens: Iterable[str]) -> Column:
     """Case-insensitive: does the text contain one of the tokens?"""
-    lowered = F.lower(col(text))
-    hit = F.lit(False)
     # A token that contains another one adds nothing to the disjunction.
     needles = sorted({t.lower() for t in tokens}, key=len)
     minimal = [t for i, t in enumerate(needles) if not any(s in t for s in needles[:i])]
-    for t in minimal:
-        hit = hit | lowered.contains(t)
-    return hit
+
+    listed = words(minimal)
+    return bind(F.lower(col(text)), lambda low: F.exists(listed, lambda t: low.contains(t)))
 
 
 def strip_comments(text: ColumnLike) -> Column:
@@ -44,10 +54,11 @@ def strip_comments(text: ColumnLike) -> Column:
 
 
 def strong_safe_signal(text: ColumnLike, category: ColumnLike) -> Column:
-    clean = strip_comments(text)
-    safe = has_any(clean, fv.SAFE_TOKENS)
-    guarded = ~col(category).isin(*fv.PATH_GUARDED_CATEGORIES) | has_any(clean, fv.PATH_GUARD_TOKENS)
-    return ~has_any(clean, fv.UNSAFE_MARKERS) & safe & guarded
+    def judge(clean: Column) -> Column:
+        guarded = ~one_of(col(category), fv.PATH_GUARDED_CATEGORIES) | has_any(clean, fv.PATH_GUARD_TOKENS)
+        return ~has_any(clean, fv.UNSAFE_MARKERS) & has_any(clean, fv.SAFE_TOKENS) & guarded
+
+    return bind(strip_comments(text), judge)
 
 
 def shorten(text: ColumnLike, limit: int = 160) -> Column:
@@ -114,43 +125,28 @@ def count_newlines(text: ColumnLike) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def newline_offsets_fold(pieces: Column, matches: Column) -> Column:
-    """Positions of regex matches from the split/extract identity.
+def match_positions(content: str, pieces: str, matches: str) -> str:
+    """SQL text of an array<struct<start,line,column,text>> with every regex match of a text.
 
-    ``pieces`` is the text around ``matches``: piece 1, match 1, piece 2, match 2 and so on.
-    Folding over the pairs gives each match's start (0-based), line and column (1-based)
-    without ever looking at the text again.
+    ``pieces`` (SQL) is the text around ``matches``: piece 1, match 1, piece 2, match 2 and so on.
+    Folding over the pairs gives each match's start (0-based), line and column (1-based) without
+    ever looking at the text again.  Each input is evaluated once per row.
     """
     item = "struct<start:int,line:int,column:int,text:string>"
-    state = f"struct<at:int,line:int,col:int,out:array<{item}>>"
-    pairs = F.zip_with(
-        F.slice(pieces, 1, F.size(matches)), matches,
-        lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-
-    def advance(line: Column, column: Column, text: Column) -> tuple[Column, Column]:
-        breaks = count_newlines(text)
-        tail = F.length(F.substring_index(text, "\n", -1))
-        return line + breaks, F.when(breaks > 0, tail + 1).otherwise(column + F.length(text))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["p"])
-        line, column = advance(acc["line"], acc["col"], pair["p"])
-
-        def emit(pos: Column) -> Column:
-            after_line, after_col = advance(pos["line"], pos["column"], pair["m"])
-            return F.struct(
-                (pos["start"] + F.length(pair["m"])).alias("at"),
-                after_line.alias("line"),
-                after_col.alias("col"),
-                F.concat(acc["out"], F.array(F.struct(
-                    pos["start"], pos["line"], pos["column"],
-                    pair["m"].alias("text")))).alias("out"),
-            ).cast(state)
-
-        here = F.struct(start.alias("start"), line.alias("line"), column.alias("column"))
-        return bind(here, emit)
-
-    first = F.struct(
-        F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(1).alias("col"),
-        F.array().cast(f"array<{item}>").alias("out")).cast(state)
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+    breaks = "(length({t}) - length(replace({t}, '\\n', '')))"
+    tail = "length(substring_index({t}, '\\n', -1))"
+
+    def after(line: str, column: str, t: str) -> tuple[str, str]:
+        b = breaks.format(t=t)
+        return f"{line} + {b}", f"IF({b} > 0, {tail.format(t=t)} + 1, {column} + length({t}))"
+
+    line, column = after("acc.line", "acc.col", "x.p")
+    end_line, end_column = after("h.line", "h.col", "x.m")
+    here = f"named_struct('at', acc.at + length(x.p), 'line', {line}, 'col', {column})"
+    moved = (
+        f"transform(array({here}), h -> named_struct('at', h.at + length(x.m), 'line', {end_line}, 'col', {end_column}, "
+        "'out', concat(acc.out, array(named_struct('start', h.at, 'line', h.line, 'column', h.col, 'text', x.m)))))[0]")
+    first = f"named_struct('at', 0, 'line', 1, 'col', 1, 'out', CAST(array() AS array<{item}>))"
+    pairs = "zip_with(slice(pm.p, 1, size(pm.m)), pm.m, (p, m) -> named_struct('p', p, 'm', m))"
+    fold = f"aggregate({pairs}, {first}, (acc, x) -> {moved}, acc -> acc.out)"
+    return f"transform(array(named_struct('p', {pieces}, 'm', {matches})), pm -> {fold})[0]"

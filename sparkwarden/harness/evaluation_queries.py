@@ -8,7 +8,7 @@ from sparkwarden.functions import fixed_values as fv
 from sparkwarden.functions import text as tx
 from sparkwarden.harness.registry import query
 from sparkwarden.harness.text_queries import _NAME, _stripped, any_token, in_list, parts_in, quote
-from sparkwarden.harness.views import SQL, code_files, doc_files, spread, table, with_views
+from sparkwarden.harness.views import code_files, code_functions, doc_files, spread, table, with_views
 from sparkwarden.operators import code, evaluation, retrieval, scoring
 from sparkwarden.plans import report
 
@@ -337,12 +337,14 @@ def score_functions(spark, sf):
     return s.select("doc_id", F.col("result.ok").alias("ok"), F.round(scoring.vulnerable_probability("result"), 6).alias("probability"))
 
 
-@query("keep_vulnerable", f"""
-WITH h AS (SELECT doc_id, ({_HITS})::DOUBLE AS h FROM documents WHERE trim(text) <> '')
-SELECT doc_id, 'VULNERABLE' AS label FROM h WHERE 1 / (1 + exp(2 - 2 * h)) > 0.8""")
+@query("keep_vulnerable", """
+SELECT 'cust/c' || c_custkey || '.py' AS file_path, 'c' || c_custkey AS function_name, 1 AS start_line, 2 AS end_line, 'SAFE' AS label FROM customer
+UNION ALL SELECT 'sup/s' || s_suppkey || '.js', 't' || s_suppkey, 5, 5, 'SAFE' FROM supplier""")
 def keep_vulnerable(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
-    return scoring.keep_vulnerable(scoring.score_functions(d, key="doc_id")).select("doc_id", F.col("result.label").alias("label"))
+    """Functions of the derived sources above a threshold that one risky call passes."""
+    f = code_functions(spark, sf).filter(F.col("name") != "<file>")
+    kept = scoring.keep_vulnerable(scoring.score_functions(f), 0.4)
+    return kept.join(f, "node_id").select("file_path", F.col("name").alias("function_name"), "start_line", "end_line", F.col("result.label").alias("label"))
 
 
 @query("score_candidates", f"""
@@ -373,7 +375,7 @@ def extract_functions(spark, sf):
 @query("call_targets", with_views(_FUNCTIONS + """
 , r AS (SELECT name, node_id AS target_id, row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, node_id) AS k FROM functions) SELECT name, target_id FROM r WHERE k <= 8""", "code"))
 def call_targets(spark, sf):
-    return code.call_targets(code.build_functions(spread(code_files(spark, sf)))).drop("repo")
+    return code.call_targets(code_functions(spark, sf)).drop("repo")
 
 
 @query("code_graph", with_views(_FUNCTIONS + """
@@ -385,8 +387,7 @@ e AS (SELECT w.node_id AS src, f.node_id AS dst FROM functions f JOIN whole w ON
   UNION SELECT a.node_id, b.node_id FROM imports JOIN whole a ON a.file_path = imports.file_path JOIN whole b ON b.file_path = imported)
 SELECT src, dst FROM e UNION SELECT dst, src FROM e""", "code"))
 def code_graph(spark, sf):
-    files = code_files(spark, sf)
-    return code.build_code_graph(code.build_functions(spread(files)), files).drop("repo")
+    return code.build_code_graph(code_functions(spark, sf), code_files(spark, sf)).drop("repo")
 
 
 @query("import_edges", with_views("SELECT DISTINCT file_path, imported FROM code WHERE imported IN (SELECT file_path FROM code)", "code"))
@@ -399,7 +400,7 @@ SELECT file_path, CASE WHEN name LIKE 'c%' THEN 2 ELSE 5 END AS line, rule_id, '
 FROM code JOIN (VALUES ('c', 'SEC021', 'TP'), ('c', 'APP-EVAL-REQ', 'TP'), ('t', 'SEC101', 'FP')) v(p, rule_id, label) ON left(name, 1) = p""", "code"))
 def scan_candidates(spark, sf):
     files = spread(code_files(spark, sf))
-    return report.scan_candidates(files, code.build_functions(files)).select("file_path", "line", "rule_id", "function_id", "oracle_label")
+    return report.scan_candidates(files, code_functions(spark, sf)).select("file_path", "line", "rule_id", "function_id", "oracle_label")
 
 
 @query("evaluate_strategies")

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.operators.code import build_functions
 from sparkwarden.session import stored
 
 REPO = "tpch"
@@ -259,6 +260,11 @@ def code_files(spark: SparkSession, sf: str) -> DataFrame:
     return every.select(F.lit("shop").alias("repo"), "file_path", "content")
 
 
+def code_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions of the derived sources, stored once per application."""
+    return stored(spark, f"{_key(sf)}/functions", lambda: build_functions(spread(code_files(spark, sf))))
+
+
 SQL["hits"] = """
 SELECT CASE WHEN l_suppkey % 10 = 0 THEN 'node_modules/s' WHEN l_suppkey % 10 = 1 THEN 'docs/s' ELSE 'src/s' END || l_suppkey || '.py' AS file_path, l_orderkey::INTEGER AS line,
   CASE WHEN l_linenumber = 7 THEN 'py/unused-import' ELSE 'rule-' || l_linenumber END AS rule_id,

@@ -20,24 +20,32 @@ def oracle_label(path: ColumnLike, rule_id: ColumnLike, category: ColumnLike, co
     ``context`` is the path, the function, the lines around the hit and the match, joined.
     """
     p, kind, raw = col(path), col(category), col(context)
-    return tx.bind(tx.strip_comments(raw), lambda clean: _decide(p, col(rule_id), kind, raw, clean))
 
+    def look(clean: Column) -> Column:
+        sink = tx.has_any(clean, fv.SINK_TOKENS) | tx.one_of(kind, fv.SINK_CATEGORIES)
+        return F.struct(
+            tx.has_any(clean, fv.SOURCE_TOKENS).alias("source"), sink.alias("sink"),
+            tx.strong_safe_signal(clean, kind).alias("safe"),
+            tx.has_any(clean, fv.PLACEHOLDER_WORDS).alias("placeholder"),
+            raw.rlike(fv.RANDOMNESS_CONTEXT).alias("sensitive"))
 
-def _decide(path: Column, rule_id: Column, kind: Column, raw: Column, clean: Column) -> Column:
+    seen = tx.bind(tx.strip_comments(raw), look)
+    return tx.bind(seen, lambda s: _decide(p, col(rule_id), kind, s))
+
+
+def _decide(path: Column, rule_id: Column, kind: Column, seen: Column) -> Column:
     def verdict(label: str, reason: str) -> Column:
         return F.struct(F.lit(label).alias("label"), F.lit(reason).alias("reason"))
 
     secret = kind == "hardcoded_secret"
-    source = tx.has_any(clean, fv.SOURCE_TOKENS)
-    sink = tx.has_any(clean, fv.SINK_TOKENS) | kind.isin(*fv.SINK_CATEGORIES)
-    safe = tx.strong_safe_signal(clean, kind)
+    source, sink, safe = seen["source"], seen["sink"], seen["safe"]
     where = F.lower(path)
     configured = where.contains("config") | where.contains("settings") | where.contains(".env")
     weak = kind.isin("weak_crypto", "misconfiguration")
     return (
         F.when(px.any_part(path, fv.FP_HINT_PARTS), verdict("FP", "documentation/test/support file"))
-        .when(secret & tx.has_any(clean, fv.PLACEHOLDER_WORDS), verdict("FP", "placeholder secret"))
-        .when(rule_id.isin(*fv.RANDOMNESS_RULES) & ~raw.rlike(fv.RANDOMNESS_CONTEXT),
+        .when(secret & seen["placeholder"], verdict("FP", "placeholder secret"))
+        .when(rule_id.isin(*fv.RANDOMNESS_RULES) & ~seen["sensitive"],
               verdict("FP", "randomness not used for security-sensitive value"))
         .when(secret & configured,
               verdict("TP", "runtime configuration contains hardcoded credential-like value"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import fixed_values as fv
 from sparkwarden.functions import paths as px
-from sparkwarden.functions.text import ColumnLike, col
+from sparkwarden.functions.text import ColumnLike, col, lookup, one_of, words
 
 
 def _norm(value: ColumnLike) -> Column:
@@ -22,8 +22,7 @@ def _norm(value: ColumnLike) -> Column:
 
 
 def severity_rank(severity: ColumnLike) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in fv.SEVERITY_RANK.items() for x in kv])
-    return F.coalesce(F.element_at(table, _norm(severity)), F.lit(0))
+    return F.coalesce(F.element_at(lookup(fv.SEVERITY_RANK, "int"), _norm(severity)), F.lit(0))
 
 
 def is_important_rule(severity: ColumnLike, category: ColumnLike, rule_id: ColumnLike,
@@ -34,11 +33,9 @@ def is_important_rule(severity: ColumnLike, category: ColumnLike, rule_id: Colum
     error level or above, and such a hit passes by its level alone.
     """
     level, kind, rid = _norm(severity), _norm(category), _norm(rule_id)
-    noisy = kind.isin(*fv.NOISE_CATEGORIES)
-    for part in fv.NOISE_RULE_PARTS:
-        noisy = noisy | rid.contains(part)
-    return level.isin(*fv.IMPORTANT_SEVERITIES) & ~noisy & (
-        kind.isin(*fv.SECURITY_CATEGORIES) | level.isin("critical", "error"))
+    noisy = one_of(kind, fv.NOISE_CATEGORIES) | rid.rlike("|".join(fv.NOISE_RULE_PARTS))
+    return one_of(level, fv.IMPORTANT_SEVERITIES) & ~noisy & (
+        one_of(kind, fv.SECURITY_CATEGORIES) | level.isin("critical", "error"))
 
 
 def is_high_priority(severity: ColumnLike, findings: ColumnLike, has_result: ColumnLike) -> Column:
@@ -183,8 +180,7 @@ def filter_stats(items: DataFrame, max_files: int = 30) -> DataFrame:
 # --- reports ---------------------------------------------------------------------------------
 
 def cwe_of(category: ColumnLike, rule_id: ColumnLike) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in fv.CWE_BY_CATEGORY.items() for x in kv])
-    return F.coalesce(F.element_at(table, F.coalesce(col(category), F.lit(""))), col(rule_id), F.lit("UNKNOWN"))
+    return F.coalesce(F.element_at(lookup(fv.CWE_BY_CATEGORY), F.coalesce(col(category), F.lit(""))), col(rule_id), F.lit("UNKNOWN"))
 
 
 def canonical_cwe(cwe: ColumnLike) -> Column:
@@ -260,10 +256,9 @@ def cwe_candidates(spark: SparkSession, categories: DataFrame, dictionary: DataF
     The candidate list is a fixed table of a few dozen ids, so it is an array expression; only the
     dictionary is joined.
     """
-    table = F.create_map(*[x for k, v in fv.CWE_CANDIDATES_BY_CATEGORY.items()
-                           for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
-    own = F.coalesce(F.element_at(table, F.col("category")), F.array().cast("array<string>"))
-    ids = F.array_distinct(F.concat(own, F.array(*[F.lit(c) for c in fv.DEFAULT_CWES])))
+    table = lookup({k: ",".join(v) for k, v in fv.CWE_CANDIDATES_BY_CATEGORY.items()})
+    own = F.coalesce(F.split(F.element_at(table, F.col("category")), ","), F.array().cast("array<string>"))
+    ids = F.array_distinct(F.concat(own, words(fv.DEFAULT_CWES)))
     asked = categories.select("category").distinct().select(
         "category", F.posexplode(ids).alias("pos", "cwe_id"))
     known = asked.join(dictionary.select("cwe_id", "cwe_name"), "cwe_id")
@@ -287,7 +282,7 @@ def prefilter_cwe(evidence: DataFrame, dictionary: DataFrame, key: str = "eviden
 
     def pick(low: Column, entries: Column) -> Column:
         hinted = F.filter(
-            F.array(*[F.lit(k) for k in fv.CWE_PREFILTER_KEYWORDS]), lambda k: low.contains(k))
+            words(fv.CWE_PREFILTER_KEYWORDS), lambda k: low.contains(k))
         named = lambda e: (e["cwe_id"] != "") & low.contains(F.lower(e["cwe_id"]))
         hint = lambda e: F.exists(hinted, lambda k: F.lower(e["cwe_name"]).contains(k))
         kept = F.filter(entries, lambda e: named(e) | hint(e))

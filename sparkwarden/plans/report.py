@@ -11,6 +11,7 @@ from sparkwarden.functions import fixed_values as fv
 from sparkwarden.functions import paths as px
 from sparkwarden.functions import text as tx
 from sparkwarden.operators import code, evaluation, findings, graph, impact, retrieval, rules, scan, scoring
+from sparkwarden.session import reliable_checkpoint
 
 
 class Report(NamedTuple):
@@ -69,10 +70,14 @@ def evaluate_contexts(candidates: DataFrame, contexts: dict[str, DataFrame]) ->
 
 
 def evaluate_strategies(files: DataFrame, per_repo: int = 35, depth: int = 2, max_nodes: int = 8) -> DataFrame:
-    """The retrieval ablation: local, text, graph and evidence-ranked contexts side by side."""
-    functions = code.build_functions(files)
-    candidates = evaluation.top_per_repo(scan_candidates(files, functions), per_repo)
-    links = code.build_code_graph(functions, files)
+    """The retrieval ablation: local, text, graph and evidence-ranked contexts side by side.
+
+    Functions, candidates and links feed all four strategies, so each is written once; parsing the
+    sources again for every use would dominate.
+    """
+    functions = reliable_checkpoint(code.build_functions(files))
+    candidates = reliable_checkpoint(evaluation.top_per_repo(scan_candidates(files, functions), per_repo))
+    links = reliable_checkpoint(code.build_code_graph(functions, files))
     ranked = retrieval.evidence_ranked_context(links, candidates, functions, depth, max_nodes)
     return evaluate_contexts(candidates, {
         "Local function only": retrieval.local_context(candidates, functions, files),

@@ -65,13 +65,19 @@ def finished(states: DataFrame, status: str = "status") -> DataFrame:
     return states.filter(F.col(status).isin("done", "error"))
 
 
+def _event_time(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need an instant; a wall-clock column is read in the session's time zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")) if dict(df.dtypes)[ts] == "timestamp_ntz" else df
+
+
 def stream_trend(events: DataFrame, ts: str = "ts", every: str = "1 day", late: str = "1 hour", *by: str) -> DataFrame:
     """Counts per tumbling window; windows close once the watermark passes them."""
-    timed = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = _event_time(events, ts)
+    timed = timed.withWatermark(ts, late) if events.isStreaming else timed
     return timed.groupBy(F.window(ts, every).alias("w"), *by).agg(F.count("*").alias("n")).select(
         F.col("w.start").alias("window_start"), *by, "n")
 
 
 def stream_dedup_results(results: DataFrame, key: str = "cache_key", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """First result of every content key; keys are forgotten once the watermark passes them."""
-    return results.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return _event_time(results, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
