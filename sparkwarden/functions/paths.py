@@ -84,7 +84,8 @@ def benchmark_source_file(path: ColumnLike, length: ColumnLike) -> Column:
 # --- identifiers: Label:path or Label:path:symbol -------------------------------------------
 
 def bare_path(node_id: ColumnLike) -> Column:
-    return F.regexp_replace(col(node_id), "^File:", "")
+    c = col(node_id)
+    return F.when(c.startswith("File:"), F.substring(c, 6, 1 << 30)).otherwise(c)
 
 
 def _is_symbol(node_id: Column) -> Column:

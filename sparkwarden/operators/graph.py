@@ -187,17 +187,20 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: i
     """Undirected neighbourhood of every root in ``roots`` (repo_name, root_id).
 
     Depth is held to 1..3.  Only kept nodes expand.  An edge belongs to the result when both ends
-    are kept and at least one of them lies above the last level.
+    are kept and at least one of them lies above the last level.  The visited nodes are
+    checkpointed, because nodes, edges and everything built on them read the same set.
     """
     depth = max(1, min(depth, 3))
     links = edges if include_meta_relations else exclude_meta_relations(edges)
     noise = [x for x in fv.NOISE_LABELS if not (include_variables and x == "Variable")]
-    facts = nodes.select("repo_name", F.col("id").alias("node_id"), "label", "file_path")
+    # Contents stay behind; the small columns of a node travel with it.
+    facts = (nodes.drop("content") if "content" in nodes.columns else nodes).withColumnRenamed("id", "node_id")
+    fields = [c for c in facts.columns if c not in ("repo_name", "node_id")]
 
     start = (
         roots.select("repo_name", F.col("root_id").alias("node_id")).distinct()
         .join(facts, ["repo_name", "node_id"])
-        .select("repo_name", F.col("node_id").alias("root_id"), "node_id",
+        .select("repo_name", F.col("node_id").alias("root_id"), "node_id", *fields,
                 F.nullif("file_path", F.lit("")).alias("root_path"),
                 F.col("label").isin(*fv.CONTAINER_LABELS).alias("root_is_container"),
                 F.lit(0).alias("level"))
@@ -208,7 +211,6 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: i
         keep = keep & (F.col("root_is_container") | ~F.col("label").isin(*fv.CONTAINER_LABELS))
         keep = keep & (F.col("root_path").isNull() | (F.col("file_path") == F.col("root_path")))
     keys = ["repo_name", "root_id", "node_id"]
-    carried = [*keys, "root_path", "root_is_container"]
 
     levels = [start]
     for level in range(1, depth + 1):
@@ -218,33 +220,38 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: i
         if len(levels) > 1:
             seen = seen.unionByName(levels[-2].select(*keys))
         reached = (
-            levels[-1].withColumnRenamed("node_id", "src")
+            levels[-1].select("repo_name", "root_id", F.col("node_id").alias("src"), "root_path", "root_is_container")
             .join(around, ["repo_name", "src"])
             .select("repo_name", "root_id", F.col("dst").alias("node_id"), "root_path", "root_is_container")
             .distinct()
             .join(seen, keys, "left_anti")
         )
-        levels.append(
-            reached.join(facts, ["repo_name", "node_id"]).filter(keep)
-            .select(*carried).withColumn("level", F.lit(level)))
-    visited = levels[0].select(*keys, "level")
+        found = reached.join(facts, ["repo_name", "node_id"]).filter(keep).select(
+            *keys, *fields, "root_path", "root_is_container", F.lit(level).alias("level"))
+        # The next level and the result both read this one.
+        levels.append(reliable_checkpoint(found) if level < depth else found)
+    visited = levels[0]
     for part in levels[1:]:
-        visited = visited.unionByName(part.select(*keys, "level"))
-
-    body = nodes if include_content or "content" not in nodes.columns else nodes.drop("content")
-    found = visited.join(body.withColumnRenamed("id", "node_id"), ["repo_name", "node_id"]).withColumn(
-        "display_name", px.display_name("name"))
-    tail = visited.select("repo_name", "root_id", F.col("node_id").alias("from_id"),
-                          F.col("level").alias("from_level"))
-    head = visited.select("repo_name", "root_id", F.col("node_id").alias("to_id"),
-                          F.col("level").alias("to_level"))
-    inside = (
-        links.join(tail, ["repo_name", "from_id"])
-        .join(head, ["repo_name", "root_id", "to_id"])
-        .filter(F.least("from_level", "to_level") < depth)
-        .drop("from_level", "to_level")
-    )
-    return Subgraph(found, inside)
+        visited = visited.unionByName(part)
+    visited = reliable_checkpoint(visited.drop("root_path", "root_is_container"))
+
+    named = visited.withColumn("display_name", px.display_name("name"))
+    if include_content and "content" in nodes.columns:
+        named = named.join(nodes.select("repo_name", F.col("id").alias("node_id"), "content"),
+                           ["repo_name", "node_id"], "left")
+    # Edges are looked up from the inner nodes only: a hub on the last level, which many roots may
+    # share, never meets its own edges.
+    inner = visited.filter(F.col("level") < depth).select("repo_name", "root_id", "node_id")
+    outer = visited.filter(F.col("level") == depth).select("repo_name", "root_id", "node_id")
+    every = visited.select("repo_name", "root_id", "node_id")
+
+    def between(first: DataFrame, end: str, second: DataFrame, other: str) -> DataFrame:
+        return links.join(first.withColumnRenamed("node_id", end), ["repo_name", end]).join(
+            second.withColumnRenamed("node_id", other), ["repo_name", "root_id", other]).select(
+            *links.columns, "root_id")
+
+    inside = between(inner, "from_id", every, "to_id").unionByName(between(inner, "to_id", outer, "from_id"))
+    return Subgraph(named, inside)
 
 
 def call_paths(edges: DataFrame, targets: DataFrame, max_depth: int = 10,
