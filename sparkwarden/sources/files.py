@@ -102,9 +102,12 @@ def read_jsonl_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cwe_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Weakness list: a JSON array of objects under current or older key names."""
-    schema = ("cwe_id string, cwe_name string, name string, cwe_description string, description string")
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    named = raw.filter(F.coalesce("cwe_id", "cwe_name", "name", "cwe_description", "description").isNotNull())
+    schema = "cwe_id string, cwe_name string, name string, cwe_description string, description string"
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
+    listed = F.when(F.col("t").startswith("["), F.from_json("t", "array<string>")).otherwise(
+        F.raise_error(F.lit("the weakness dictionary must be a JSON list")))
+    entries = text.select(F.explode(listed).alias("e")).filter(F.col("e").startswith("{"))
+    named = entries.select(F.from_json("e", schema).alias("x")).select("x.*")
     either = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit("")), F.lit(""))
     return named.select(
         F.upper(F.coalesce("cwe_id", F.lit(""))).alias("cwe_id"), either("cwe_name", "name").alias("cwe_name"),
