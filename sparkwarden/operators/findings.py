@@ -17,6 +17,9 @@ from sparkwarden.functions import paths as px
 from sparkwarden.functions.text import ColumnLike, col, lookup, one_of, words
 
 
+MAX_DICTIONARY = 20_000
+
+
 def _norm(value: ColumnLike) -> Column:
     return F.trim(F.lower(F.coalesce(col(value), F.lit(""))))
 
@@ -277,8 +280,11 @@ def prefilter_cwe(evidence: DataFrame, dictionary: DataFrame, key: str = "eviden
     The dictionary (a public list of about a thousand ids) becomes one array, and every evidence
     row filters it in place, which needs neither a join nor a shuffle.
     """
-    listing = dictionary.agg(F.array_sort(F.collect_list(F.struct(
-        F.trim(F.upper("cwe_id")).alias("cwe_id"), "cwe_name"))).alias("d"))
+    entry = F.struct(F.trim(F.upper("cwe_id")).alias("cwe_id"), "cwe_name")
+    # One row more than the limit is enough to know that the list is not a weakness dictionary.
+    listing = dictionary.limit(MAX_DICTIONARY + 1).agg(F.when(
+        F.count("*") <= MAX_DICTIONARY, F.array_sort(F.collect_list(entry))).otherwise(
+        F.raise_error(F.lit(f"a weakness dictionary has at most {MAX_DICTIONARY} entries"))).alias("d"))
 
     def pick(low: Column, entries: Column) -> Column:
         hinted = F.filter(

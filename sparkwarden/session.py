@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +46,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the rows to the shared folder and reading them back.
+
+    Lost executors cost nothing, because the rows are files.  A written table also has a known
+    size, so joins with it are broadcast when it is small and shuffled evenly when it is not; an
+    RDD checkpoint would keep neither and could pull the other side into its few partitions.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:

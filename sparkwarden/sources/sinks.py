@@ -36,9 +36,10 @@ def upsert_relations(target: DataFrame, source: DataFrame, order: str = "seq") -
 def write_partitioned(df: DataFrame, path: str, partition: str = "repo_name") -> None:
     """Replace exactly the repositories that ``df`` holds and leave the others alone.
 
-    ``df`` must not read from ``path`` itself.
+    Rows are rebalanced by repository: small ones share a task and a large one is split over many,
+    so neither tiny files nor one huge task come out.  ``df`` must not read from ``path`` itself.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    df.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def replace_repo(nodes: DataFrame, relations: DataFrame, node_path: str, relation_path: str, order: str = "seq") -> None:
