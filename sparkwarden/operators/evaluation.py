@@ -167,14 +167,23 @@ def band_join(candidates: DataFrame, findings: DataFrame, window: int = 5,
 def match_tool_findings(candidates: DataFrame, findings: DataFrame, window: int = 5,
                         keys: Sequence[str] = ("repo", "file_path"), key: str = "candidate_id",
                         finding_key: str = "finding_id", keep: int = 5) -> DataFrame:
-    """Candidates with ``matched_count``, ``predicted`` and the ids of the first matches."""
-    pairs = band_join(candidates, findings, window, keys).select(key, F.col(f"f_{finding_key}").alias("fid"))
-    counts = pairs.groupBy(key).agg(F.count("*").alias("matched_count"))
-    order = W.partitionBy(key).orderBy("fid")
-    first = (
-        pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep)
-        .groupBy(key).agg(F.array_sort(F.collect_list("fid")).alias("first_matches")))
-    out = candidates.join(counts, key, "left").join(first, key, "left")
+    """Candidates with ``matched_count``, ``predicted`` and the ids of the first matches.
+
+    Findings are reduced per line before they meet the candidates: a count and the first ``keep``
+    ids.  A candidate then joins at most 2 * window + 1 rows, however many findings a line has.
+    """
+    at = [*keys, "line"]
+    found = findings.select(*at, F.col(finding_key).alias("fid"))
+    counts = found.groupBy(*at).agg(F.count("*").alias("n"))
+    order = W.partitionBy(*at).orderBy("fid")
+    first = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).groupBy(*at).agg(
+        F.collect_list("fid").alias("fids"))
+    per_line = counts.join(first, at)
+    near = band_join(candidates.select(key, *at), per_line, window, keys)
+    matched = near.groupBy(key).agg(
+        F.sum("f_n").alias("matched_count"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("f_fids"))), 1, keep).alias("first_matches"))
+    out = candidates.join(matched, key, "left")
     return out.withColumn("matched_count", F.coalesce("matched_count", F.lit(0).cast("long"))).withColumn(
         "predicted", F.col("matched_count") > 0)
 
