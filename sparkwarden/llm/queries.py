@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe
+from sparkwarden.llm import bpe, pii
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +31,13 @@ def vocab_path() -> str:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoded text."""
     return bpe.digests(table(spark, sf_dir, "documents"), vocab_path(), ["doc_id"])
+
+
+@_register
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    spans = F.col("pii_spans")
+    base = F.filter(spans, lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return pii.detect(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.describe(base), 256).alias("base_sha256"), pii.describe(spans).alias("spans"))
