@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, pii
+from sparkwarden.llm import bpe, jaccard_join, pii
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def vocab_path() -> str:
     return os.path.abspath(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_register
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of its decoded text."""
