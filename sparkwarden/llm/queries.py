@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, jaccard_join, mixing, pii
+from sparkwarden.llm import bpe, jaccard_join, mixing, pii, secret_scan
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(spans, lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
     return pii.detect(table(spark, sf_dir, "documents")).select(
         "doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.describe(base), 256).alias("base_sha256"), pii.describe(spans).alias("spans"))
+
+
+@_register
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document with the verdict of corpus-wide ownership."""
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select(
+        F.col("repository").alias("doc_id"), *[count(k) for k in secret_scan.KINDS], F.sha2(secret_scan.describe(base), 256).alias("base_sha256"),
+        secret_scan.describe(spans).alias("spans"), "n_live", "n_copied")
