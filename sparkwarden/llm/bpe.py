@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkwarden.llm.common import chunks, ranges, span_hashes
+from sparkwarden.llm.common import chunks, ranges, span_hashes, widened
 
 CACHE_WORDS = 1_500_000
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
@@ -332,7 +332,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids")
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), lists], [*fields, ids])
 
-    return out.mapInArrow(run, out.schema.add(ids, "array<int>"))
+    return out.mapInArrow(run, widened(out, **{ids: "array<int>"}))
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -349,7 +349,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decode
             texts = v.decode(flat, np.concatenate(([0], np.cumsum(counts))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array([t.decode() for t in texts], pa.string())], [*fields, text])
 
-    return out.mapInArrow(run, out.schema.add(text, "string"))
+    return out.mapInArrow(run, widened(out, **{text: "string"}))
 
 
 def digests(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -369,5 +369,5 @@ def digests(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text")
                 texts = [hashlib.sha256(t).hexdigest() for t in v.decode(got, bounds)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = df.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = widened(df.select(*keep), n_tokens="long", ids_sha256="string", decoded_sha256="string")
     return base.mapInArrow(run, schema)

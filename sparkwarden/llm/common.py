@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkwarden.session import shared_folder
 
@@ -119,6 +119,9 @@ def lower_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(b, starts, ends), bounds
 
 
-def salted(*columns: str, seed: int = 0):
-    """A stable 64-bit hash of columns."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
+def widened(df: DataFrame, **types: str) -> StructType:
+    """The schema of a frame with further columns; the frame's own schema stays as it is."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in types.items():
+        out = out.add(name, kind)
+    return out

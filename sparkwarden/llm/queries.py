@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, jaccard_join, mixing, pii, secret_scan
+from sparkwarden.llm import bpe, jaccard_join, language_id, mixing, pii, secret_scan
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).select(
         F.col("repository").alias("doc_id"), *[count(k) for k in secret_scan.KINDS], F.sha2(secret_scan.describe(base), 256).alias("base_sha256"),
         secret_scan.describe(spans).alias("spans"), "n_live", "n_copied")
+
+
+def held_out():
+    """Whether a document is kept from learning languages."""
+    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+
+
+@_register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled three quarters."""
+    docs = table(spark, sf_dir, "documents")
+    known = language_id.identify(docs.select("doc_id", "text"), docs.where(~F.coalesce(held_out(), F.lit(False))))
+    return known.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
