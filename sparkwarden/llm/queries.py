@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, jaccard_join, language_id, mixing, pii, secret_scan
+from sparkwarden.llm import bpe, jaccard_join, language_id, mixing, pii, secret_scan, weighted_sampling
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language_id.identify(docs.select("doc_id", "text"), docs.where(~F.coalesce(held_out(), F.lit(False))))
     return known.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_register
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return weighted_sampling.compare_with_next(table(spark, sf_dir, "documents"))
