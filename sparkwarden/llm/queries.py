@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, jaccard_join, language_id, mixing, pii, secret_scan, weighted_sampling
+from sparkwarden.llm import bpe, jaccard_join, language_id, license_scan, mixing, pii, secret_scan, weighted_sampling
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return weighted_sampling.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and licence labels of every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.first_word").alias("first_word"), F.array_max("places.first_word").alias("last_word"),
+        names(F.col("places.label")).alias("base_labels"), names(F.concat("places.label", "spans.label")).alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("spans.covered"), F.lit(0.0))).alias("score"))
