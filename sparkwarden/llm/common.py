@@ -121,7 +121,4 @@ def lower_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def widened(df: DataFrame, **types: str) -> StructType:
     """The schema of a frame with further columns; the frame's own schema stays as it is."""
-    out = StructType(list(df.schema.fields))
-    for name, kind in types.items():
-        out = out.add(name, kind)
-    return out
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in types.items())).fields])

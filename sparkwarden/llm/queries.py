@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import bpe, jaccard_join, language_id, license_scan, mixing, pii, secret_scan, weighted_sampling
+from sparkwarden.llm import bpe, jaccard_join, language_id, license_scan, mixing, nearest, pii, secret_scan, weighted_sampling
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds")).alias("taken"), "source")
 
 
+@_register
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.search(rows, rows.where("vec_id % 100 = 0")).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 @_register
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
