@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -49,14 +50,14 @@ class Scratch:
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``limit`` characters; a longer text stands alone."""
-    n = np.array([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()], dtype=np.int64)
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
     start = held = 0
-    for i, k in enumerate(n):
+    for i, k in enumerate(sizes):
         if i > start and held + k > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += k
-    if start < len(n):
+    if start < len(sizes):
         yield batch.slice(start)
 
 

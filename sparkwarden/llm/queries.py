@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sparkwarden.llm import bpe, jaccard_join, language_id, license_scan, mixing, nearest, pii, secret_scan, weighted_sampling
+from sparkwarden.llm import bpe, jaccard_join, language_id, license_scan, mixing, nearest, pii, secret_scan, url_lists, weighted_sampling
 from sparkwarden.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,46 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds")).alias("taken"), "source")
 
 
+@_register
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the lists of its fetch time.
+
+    The time of a page is that of the event with its number.  Events are also the lists' log: an event of key k is about the
+    k-th host in order (or, for spam, the host's parent).  Errors add to ``malware`` and signups remove; purchases add to ``spam`` and clicks remove.
+    """
+    pages, events = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "events")
+    captures = pages.join(events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched_at")), "page_id", "left")
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    ranked = hosts.select("host", (F.row_number().over(Window.orderBy("host")) - 1).alias("place"))  # one row per host
+    n = hosts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
+    kind = F.col("event_type")
+    log = events.where(kind.isin("error", "signup", "purchase", "click")).select(
+        F.when(kind.isin("error", "signup"), "malware").otherwise("spam").alias("list"), F.when(kind.isin("error", "purchase"), "add").otherwise("remove").alias("action"),
+        F.col("ts").alias("at"), (F.get_json_object("props", "$.k").cast("long") % n).cast("int").alias("place"))
+    entries = log.join(ranked, "place").select("list", "action", "at", F.when(F.col("list") == "malware", F.col("host")).otherwise(F.regexp_replace("host", r"^[^.]*\.", "")).alias("pattern"))
+    judged = url_lists.evaluate(captures, entries)
+    return judged.select("page_id", F.array_join("active_lists", ",").alias("lists"), F.size("active_lists").cast("long").alias("n_lists"), F.array_contains("active_lists", "malware").alias("blocked"))
+
+
+ORACLES["op4_url_lists"] = r"""
+WITH captures AS (
+    SELECT page_id, e.ts AS t, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '') AS host
+    FROM pages LEFT JOIN events e ON e.event_id = page_id),
+ranked AS (SELECT host, row_number() OVER (ORDER BY host) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL)),
+entries AS (
+    SELECT DISTINCT CASE WHEN event_type IN ('error', 'signup') THEN 'malware' ELSE 'spam' END AS list, CASE WHEN event_type IN ('error', 'purchase') THEN 'add' ELSE 'remove' END AS action, ts AS since,
+        CASE WHEN event_type IN ('error', 'signup') THEN host ELSE regexp_replace(host, '^[^.]*\.', '') END AS pattern
+    FROM events JOIN ranked ON CAST(json_extract_string(props, '$.k') AS BIGINT) % n = place
+    WHERE event_type IN ('error', 'signup', 'purchase', 'click')),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY list, pattern ORDER BY since, action) AS until FROM entries),
+hits AS (
+    SELECT DISTINCT page_id, t, list FROM captures c JOIN spans s
+        ON s.action = 'add' AND s.since <= c.t AND (s.until IS NULL OR c.t < s.until) AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern)))
+SELECT c.page_id, coalesce(string_agg(h.list, ',' ORDER BY h.list), '') AS lists, count(h.list) AS n_lists, coalesce(bool_or(h.list = 'malware'), FALSE) AS blocked
+FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.t = c.t
+GROUP BY c.page_id"""
+
+
 @_register
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one."""
