@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+import corpus_pipeline
 from sparkwarden.llm import bpe, jaccard_join, language_id, license_scan, mixing, nearest, pii, secret_scan, url_lists, weighted_sampling
 from sparkwarden.llm.common import table
+from sparkwarden.llm.vocabulary import vocab_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,13 +22,6 @@ def _register(fn):
     return fn
 
 
-def vocab_path() -> str:
-    """The public byte-level vocabulary, where its package is installed."""
-    import public_tokenizers
-
-    return os.path.abspath(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 @_register
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, Jaccard similarity of 0.8 or more."""
@@ -142,3 +136,6 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.first_word").alias("first_word"), F.array_max("places.first_word").alias("last_word"),
         names(F.col("places.label")).alias("base_labels"), names(F.concat("places.label", "spans.label")).alias("labels"),
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("spans.covered"), F.lit(0.0))).alias("score"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
