@@ -73,3 +73,46 @@ def match_spans(text: Column, pattern: str, around: int = 0) -> Column:
     cut = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     kind = "array<struct<start:bigint,end:bigint,text:string" + (",before:string,after:string" if around else "") + ">>"
     return F.when(text.rlike(pattern), bind(cut, spans)).otherwise(F.array().cast(kind))
+
+
+def match_positions(pieces: Column, matches: Column) -> Column:
+    """array<struct<start,line,column,text>> of regex matches, from the text around and in them.
+
+    ``pieces`` stand around ``matches``: piece 1, match 1, piece 2, match 2 and so on.  Starts count from 0, lines and columns
+    from 1.  All are running sums (or the running last line break), so the work is linear in the number of matches.
+    """
+    def breaks(t: Column) -> Column:
+        return (F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit("")))).cast("bigint")
+
+    def width(t: Column) -> Column:
+        return F.char_length(t).cast("bigint")
+
+    def tail(t: Column) -> Column:
+        return width(F.substring_index(t, "\n", -1))
+
+    def step(p: Column, m: Column) -> Column:
+        return F.struct((width(p) + width(m)).alias("w"), (breaks(p) + breaks(m)).alias("b"), tail(F.concat(p, m)).alias("t"))
+
+    def walked(s: Column) -> Column:
+        steps = F.zip_with(F.slice(s["p"], F.lit(1), F.size(s["m"])), s["m"], step)
+        return F.struct(s["p"].alias("p"), s["m"].alias("m"), steps.alias("x"))
+
+    def summed(s: Column) -> Column:
+        return F.struct(s["p"].alias("p"), s["m"].alias("m"), s["x"].alias("x"), running(F.transform(s["x"], lambda x: x["w"])).alias("at"), running(F.transform(s["x"], lambda x: x["b"])).alias("lines"))
+
+    def placed(s: Column) -> Column:
+        ends = F.transform(s["x"], lambda x, i: F.when(x["b"] > 0, F.get(s["at"], i) + x["w"] - x["t"] - 1).otherwise(F.lit(-1).cast("bigint")))
+
+        def item(last: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                gap = F.get(s["p"], i)
+                start = F.get(s["at"], i) + width(gap)
+                inside = breaks(gap)
+                column = F.when(inside > 0, tail(gap) + 1).otherwise(start - F.get(last, i))
+                return F.struct(start.cast("int").alias("start"), (F.get(s["lines"], i) + inside + 1).cast("int").alias("line"), column.cast("int").alias("column"), m.alias("text"))
+
+            return F.transform(s["m"], one)
+
+        return bind(running(ends, largest, F.greatest), item)
+
+    return bind(F.struct(pieces.alias("p"), matches.alias("m")), lambda s: bind(walked(s), lambda s: bind(summed(s), placed)))

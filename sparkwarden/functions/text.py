@@ -123,30 +123,3 @@ def line_window(text: ColumnLike, line: ColumnLike, radius: int = 5) -> Column:
 def count_newlines(text: ColumnLike) -> Column:
     c = col(text)
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-
-
-def match_positions(content: str, pieces: str, matches: str) -> str:
-    """SQL text of an array<struct<start,line,column,text>> with every regex match of a text.
-
-    ``pieces`` (SQL) is the text around ``matches``: piece 1, match 1, piece 2, match 2 and so on.
-    Folding over the pairs gives each match's start (0-based), line and column (1-based) without
-    ever looking at the text again.  Each input is evaluated once per row.
-    """
-    item = "struct<start:int,line:int,column:int,text:string>"
-    breaks = "(length({t}) - length(replace({t}, '\\n', '')))"
-    tail = "length(substring_index({t}, '\\n', -1))"
-
-    def after(line: str, column: str, t: str) -> tuple[str, str]:
-        b = breaks.format(t=t)
-        return f"{line} + {b}", f"IF({b} > 0, {tail.format(t=t)} + 1, {column} + length({t}))"
-
-    line, column = after("acc.line", "acc.col", "x.p")
-    end_line, end_column = after("h.line", "h.col", "x.m")
-    here = f"named_struct('at', acc.at + length(x.p), 'line', {line}, 'col', {column})"
-    moved = (
-        f"transform(array({here}), h -> named_struct('at', h.at + length(x.m), 'line', {end_line}, 'col', {end_column}, "
-        "'out', concat(acc.out, array(named_struct('start', h.at, 'line', h.line, 'column', h.col, 'text', x.m)))))[0]")
-    first = f"named_struct('at', 0, 'line', 1, 'col', 1, 'out', CAST(array() AS array<{item}>))"
-    pairs = "zip_with(slice(pm.p, 1, size(pm.m)), pm.m, (p, m) -> named_struct('p', p, 'm', m))"
-    fold = f"aggregate({pairs}, {first}, (acc, x) -> {moved}, acc -> acc.out)"
-    return f"transform(array(named_struct('p', {pieces}, 'm', {matches})), pm -> {fold})[0]"
