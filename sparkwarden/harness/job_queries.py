@@ -30,7 +30,7 @@ def normalize_reports(spark, sf):
     kind = F.col("o_orderkey") % 3
     raw = F.when(kind == 0, F.concat(F.lit("Result:\n```json\n"), body, F.lit("\n```\ndone"))).when(
         kind == 1, F.concat(F.lit("I think {x} first. "), body, F.lit(" end"))).otherwise(F.lit("no object {here"))
-    parsed = spread(o.select("o_orderkey", raw.alias("raw"))).withColumn("r", scoring.normalize_report(scoring.extract_json("raw")))
+    parsed = scoring.normalize_responses(o.select("o_orderkey", raw.alias("raw")), "raw", "r")
     return parsed.select("o_orderkey", F.col("r.selected_cwe_id").alias("cwe"), F.col("r.severity").alias("severity"),
                          F.col("r.attack_path").alias("attack_path"), F.col("r.evidence_strength").alias("evidence"))
 

@@ -143,7 +143,7 @@ def test_responses(spark):
     deep = {"a": {"b": {"c": flat}}}
     data = ["```json\n{\"selected_cwe_id\": \"1\"}\n```\n```\n" + json.dumps(flat) + "\n```", "text {not json} " + json.dumps(nested) + " tail", json.dumps(deep), "nothing", 'x {"root_cause": "a\\.b", "selected_cwe_id": "CWE-5"}']
     df = spark.createDataFrame(list(enumerate(data)), "i int, t string")
-    got = df.select("i", scoring.normalize_report(scoring.extract_json("t")).alias("r")).orderBy("i").collect()
+    got = scoring.normalize_responses(df, "t", "r").orderBy("i").collect()
     assert [r.r.selected_cwe_id for r in got] == ["CWE-89", "CWE-79", "CWE-89", "UNMAPPED", "CWE-5"]
     assert got[0].r.attack_path == '{"a": 1}\nb' and got[0].r.remediation == ["x"] and got[0].r.candidate_comparison == "[]"
     assert (got[1].r.selected_cwe_name, got[1].r.root_cause, got[1].r.severity, got[1].r.evidence_strength) == ("XSS", "rc", "High", "medium")
