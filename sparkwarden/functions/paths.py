@@ -74,11 +74,11 @@ def is_runtime_likely_path(path: ColumnLike) -> Column:
         F.lower(file_name(path)), fv.RUNTIME_FILENAMES)
 
 
-def benchmark_source_file(path: ColumnLike, length: ColumnLike) -> Column:
-    """Files the repository benchmark reads."""
+def benchmark_source_file(path: ColumnLike) -> Column:
+    """Files the repository benchmark reads, of any size."""
     named = one_of(F.lower(suffix(path)), fv.SOURCE_EXTENSIONS) | file_name(path).isin(
         *fv.SOURCE_FILENAMES)
-    return ~any_part(path, fv.SOURCE_SKIP_PARTS) & named & (col(length) <= fv.MAX_FILE_BYTES)
+    return ~any_part(path, fv.SOURCE_SKIP_PARTS) & named
 
 
 # --- identifiers: Label:path or Label:path:symbol -------------------------------------------

@@ -26,8 +26,9 @@ def norm(vec: Column) -> Column:
 
 
 def cosine_distance(a: ColumnLike, b: ColumnLike) -> Column:
+    """One minus the cosine; null where a vector has no length."""
     x, y = doubles(a), doubles(b)
-    return F.lit(1.0) - dot(x, y) / (norm(x) * norm(y))
+    return F.lit(1.0) - F.try_divide(dot(x, y), norm(x) * norm(y))
 
 
 def mrl_normalize(vec: ColumnLike, dims: int = 1024) -> Column:

@@ -95,6 +95,40 @@ def attach_rule_findings(spark, sf):
         "o_orderkey", F.coalesce("layer1_findings", F.lit(0)).alias("attached"))
 
 
+_TWO = "(VALUES ('a'), ('b')) AS two(repo)"
+
+
+def _in_two(df):
+    """The same rows in two repositories, which so share every path."""
+    return df.withColumn("repo", F.explode(F.array(F.lit("a"), F.lit("b"))))
+
+
+@query("dedup_two_repos", with_views(f"""
+, n AS (SELECT *, {_NODE_ID} AS node_id FROM item_rows CROSS JOIN {_TWO}), r AS (SELECT *, row_number() OVER (PARTITION BY repo, node_id ORDER BY layer, seq) AS k FROM n)
+SELECT repo, node_id, layer, seq FROM r WHERE k = 1 OR node_id = ''""", "item_rows"))
+def dedup_two_repos(spark, sf):
+    return findings.dedup_by_node(_in_two(items(spark, sf))).select("repo", "node_id", "layer", "seq")
+
+
+@query("rank_files_two_repos", with_views(f"""
+, r AS (SELECT file_path, max(rank) AS file_rank, count(DISTINCT line) AS l1, 0 AS l2 FROM kept_hits WHERE important GROUP BY file_path
+  UNION ALL SELECT string_split(file_path, ':')[2], 2, 0, count(*) FROM model_hits GROUP BY 1)
+SELECT repo, file_path, max(file_rank)::INTEGER AS file_rank, sum(l1)::BIGINT AS layer1_findings, sum(l2)::BIGINT AS layer2_items FROM (SELECT *, lower(file_path) AS p FROM r) CROSS JOIN {_TWO} WHERE NOT {_IGNORED}
+GROUP BY repo, file_path""", "kept_hits", "model_hits"))
+def rank_files_two_repos(spark, sf):
+    return findings.rank_files(_in_two(hits(spark, sf).drop("repo")), _in_two(model_hits(spark, sf).drop("repo")))
+
+
+@query("attach_two_repos", with_views(f"""
+, f AS (SELECT repo, file_path, count(*) AS n FROM hits CROSS JOIN {_TWO} WHERE repo = 'a' GROUP BY ALL)
+SELECT m.o_orderkey, two.repo, coalesce(f.n, 0) AS attached FROM model_hits m CROSS JOIN {_TWO} LEFT JOIN f ON f.file_path = string_split(m.file_path, ':')[2] AND f.repo = two.repo""", "hits", "model_hits"))
+def attach_two_repos(spark, sf):
+    """Findings of one repository do not reach the same path of another."""
+    per_file = hits(spark, sf).groupBy("file_path").agg(F.count("*").alias("findings")).withColumn("repo", F.lit("a"))
+    return findings.attach_rule_findings(_in_two(model_hits(spark, sf).drop("repo")), per_file).select(
+        "o_orderkey", "repo", F.coalesce("layer1_findings", F.lit(0)).alias("attached"))
+
+
 @query("layer_counts", with_views("""
 SELECT 'layer1_files' AS counter, count(*) FILTER (layer = 1) AS n FROM item_rows UNION ALL SELECT 'layer1_findings', sum(n)::BIGINT FROM item_rows
 UNION ALL SELECT 'layer2_items', count(*) FILTER (layer = 2) FROM item_rows UNION ALL SELECT 'layer3_jobs', count(*) FROM item_rows WHERE file_path <> ''""", "item_rows"))
@@ -141,7 +175,7 @@ WITH d AS (SELECT 'CWE-' || r_regionkey AS cwe_id, lower(r_name) || ' ' || (['sq
 e AS (SELECT o_orderkey AS evidence_id, lower('order cwe-' || (o_custkey % 7) || ' ' || (['sql', 'path', 'secret', 'none'])[o_orderkey % 4 + 1] || ' ' || o_orderpriority) AS t FROM orders),
 j AS (SELECT evidence_id, cwe_id, cwe_name, (contains(t, lower(cwe_id)) OR len(list_filter({_KEYS}, lambda k: contains(t, k) AND contains(lower(cwe_name), k))) > 0) AS hit FROM e CROSS JOIN d),
 c AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY evidence_id) AS n FROM j)
-SELECT evidence_id, cwe_id, cwe_name FROM c WHERE hit OR n < 3""")
+SELECT DISTINCT e.evidence_id, c.cwe_id, c.cwe_name, coalesce(c.n, 0) < 3 AS whole_dictionary FROM e LEFT JOIN (SELECT * FROM c WHERE hit) c ON c.evidence_id = e.evidence_id""")
 def cwe_prefilter(spark, sf):
     hint = F.element_at(F.array(*[F.lit(x) for x in ("sql", "path", "auth", "command", "plain")]), F.col("r_regionkey") + 1)
     d = table(spark, sf, "region").select(F.concat(F.lit("CWE-"), F.col("r_regionkey").cast("string")).alias("cwe_id"),

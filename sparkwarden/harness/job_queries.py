@@ -101,15 +101,21 @@ def markdown_report(spark, sf):
 
 
 @query("replace_repo", """
-SELECT 'r' || (c_nationkey % 5) AS repo_name, count(*) AS n, count(*) FILTER (c_nationkey % 5 = 2) AS replaced FROM customer WHERE c_nationkey % 5 <> 2 OR c_custkey % 2 = 0 GROUP BY ALL""")
+SELECT 'r' || (c_nationkey % 5) AS repo_name, count(*) AS n, count(*) FILTER (c_nationkey % 5 = 2) AS replaced, count(*) FILTER (c_nationkey % 5 <> 2) AS relations
+FROM customer WHERE c_nationkey % 5 <> 2 OR c_custkey % 2 = 0 GROUP BY ALL""")
 def replace_repo(spark, sf):
-    """Write a partitioned table, then replace one repository's partition."""
-    path = _scratch(spark, "replace")
-    repo = F.concat(F.lit("r"), (F.col("c_nationkey") % 5).cast("string"))
-    c = table(spark, sf, "customer").select("c_custkey", F.lit(0).alias("generation"), repo.alias("repo_name"))
-    sinks.write_partitioned(c, path)
-    sinks.write_partitioned(c.filter((F.col("repo_name") == "r2") & (F.col("c_custkey") % 2 == 0)).withColumn("generation", F.lit(1)), path)
-    return spark.read.parquet(path).groupBy("repo_name").agg(F.count("*").alias("n"), F.sum("generation").alias("replaced"))
+    """Replace one repository, which has lost all its relations, through the operator."""
+    node_path, relation_path = _scratch(spark, "nodes"), _scratch(spark, "relations")
+    c = table(spark, sf, "customer").select(
+        F.concat(F.lit("r"), (F.col("c_nationkey") % 5).cast("string")).alias("repo_name"), F.col("c_custkey").cast("string").alias("id"), F.lit(0).alias("generation"), F.lit(0).alias("seq"), "c_custkey")
+    nodes = c.drop("c_custkey")
+    relations = c.select("repo_name", F.col("id").alias("from_id"), F.lit("CALLS").alias("relation_type"), F.col("id").alias("to_id"), F.lit(-1).alias("step"), "generation", "seq")
+    sinks.replace_repo(nodes, relations, node_path, relation_path, [f"r{i}" for i in range(5)])
+    fresh = c.filter((F.col("repo_name") == "r2") & (F.col("c_custkey") % 2 == 0)).drop("c_custkey").withColumn("generation", F.lit(1))
+    sinks.replace_repo(fresh, relations.limit(0), node_path, relation_path, ["r2"])
+    n = spark.read.parquet(node_path).groupBy("repo_name").agg(F.count("*").alias("n"), F.sum("generation").alias("replaced"))
+    r = spark.read.parquet(relation_path).groupBy("repo_name").agg(F.count("*").alias("relations"))
+    return n.join(r, "repo_name", "left").select("repo_name", "n", "replaced", F.coalesce("relations", F.lit(0)).alias("relations"))
 
 
 @query("checkpointed_run", "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders")

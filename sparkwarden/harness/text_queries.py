@@ -152,7 +152,7 @@ def flatten_reports(spark, sf):
 SELECT file_path, line, rule_id, '  ⚠ [CRITICAL][regex] Line ' || line || ': ' || min(name) || ' — ' || left(min(name || ' (' || replace(category, '_', ' ') || ')'), 100) AS text
 FROM matches GROUP BY file_path, line, rule_id""", "files"))
 def format_findings(spark, sf):
-    return findings.format_findings(doc_matches(spark, sf))
+    return findings.format_findings(doc_matches(spark, sf)).drop("repo")
 
 
 @query("external_merge", with_views(DOC_MATCHES + """,
@@ -277,7 +277,7 @@ SELECT doc_id, file_path, ({_NAME} IN {in_list(fv.SCAN_FILENAMES)} OR lower({_SU
   ({parts_in(fv.IGNORED_PARTS, 'string_split(lower(file_path), chr(47))')} OR {' OR '.join(f"contains(lower(file_path), {quote(f)})" for f in fv.IGNORED_FRAGMENTS)}) AS ignored,
   ({parts_in(fv.NON_RUNTIME_PARTS, 'string_split(lower(file_path), chr(47))')} OR regexp_matches(lower({_NAME}), '(^|[._-])(test|spec)([._-]|$)')) AS nonruntime,
   {parts_in(fv.RUNTIME_PARTS, 'string_split(lower(file_path), chr(47))')} AS runtime,
-  (NOT {parts_in(fv.SOURCE_SKIP_PARTS)} AND lower({_SUFFIX}) IN {in_list(fv.SOURCE_EXTENSIONS)} AND strlen(content) <= 350000) AS benchmark_source
+  (NOT {parts_in(fv.SOURCE_SKIP_PARTS)} AND lower({_SUFFIX}) IN {in_list(fv.SOURCE_EXTENSIONS)}) AS benchmark_source
 FROM files""", "files"))
 def path_filters(spark, sf):
     d = doc_files(spark, sf)
@@ -285,7 +285,7 @@ def path_filters(spark, sf):
                     px.should_skip_path("file_path").alias("skipped"), px.should_ignore_file("file_path").alias("ignored"),
                     px.is_nonruntime_path("file_path").alias("nonruntime"),
                     px.is_runtime_likely_path("file_path").alias("runtime"),
-                    px.benchmark_source_file("file_path", F.octet_length("content")).alias("benchmark_source"))
+                    px.benchmark_source_file("file_path").alias("benchmark_source"))
 
 
 @query("select_scan_files", with_views(f"""

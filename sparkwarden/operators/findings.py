@@ -11,14 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkwarden.functions import fixed_values as fv
 from sparkwarden.functions import paths as px
 from sparkwarden.functions.text import ColumnLike, col, lookup, one_of, words
 
 
-MAX_DICTIONARY = 20_000
-
 
 def _norm(value: ColumnLike) -> Column:
     return F.trim(F.lower(F.coalesce(col(value), F.lit(""))))
@@ -76,14 +75,19 @@ def node_id_of(items: DataFrame) -> Column:
     return px.extract_node_id(*names)
 
 
+def _scope(*frames: DataFrame) -> list[str]:
+    """The repository, where all frames name it: paths are unique only within one."""
+    return ["repo"] if all("repo" in f.columns for f in frames) else []
+
+
 def dedup_by_node(items: DataFrame, order: Sequence[str] = ("layer", "seq")) -> DataFrame:
-    """First item of every node.  An aggregate, so copies combine before the shuffle; items
-    without a node stay apart with an empty ``node_id``."""
+    """First item of every node (of a repository, if items name it).  Each task keeps one item of a node before the shuffle;
+    items without a node stay apart with an empty ``node_id``."""
     named = items.withColumn("node_id", node_id_of(items))
-    first = named.filter(F.col("node_id") != "").groupBy("node_id").agg(
-        F.min_by(F.struct(*items.columns), F.struct(*order)).alias("first"))
-    blank = named.filter(F.col("node_id") == "")
-    return first.select("node_id", "first.*").unionByName(blank, allowMissingColumns=True)
+    turn = Window.partitionBy(*_scope(items), "node_id").orderBy(*order)
+    first = named.filter(F.col("node_id") != "").withColumn("__turn", F.row_number().over(turn)).filter(F.col("__turn") == 1).drop("__turn")
+    blank = named.filter(F.coalesce("node_id", F.lit("")) == "")
+    return first.unionByName(blank).select("node_id", *items.columns)
 
 
 def route_findings(items: DataFrame) -> DataFrame:
@@ -102,55 +106,57 @@ def skipped_rows(routed: DataFrame) -> DataFrame:
         F.col("route") == "skipped_low", "Low-priority finding skipped").otherwise(
         "Cannot infer graph node_id from scan result.")
     return routed.filter(F.col("route") != "job").select(
-        "node_id", px.bare_path("node_id").alias("file_path"), F.lit("SKIPPED").alias("selected_cwe_id"),
+        *_scope(routed), "node_id", px.bare_path("node_id").alias("file_path"), F.lit("SKIPPED").alias("selected_cwe_id"),
         why.alias("selected_cwe_name"), F.lit("Low").alias("severity"), "route")
 
 
 def failed_rows(failures: DataFrame) -> DataFrame:
     """Result rows of jobs that failed or ran out of time; ``kind`` is ERROR or TIMEOUT."""
     return failures.select(
-        "node_id", px.bare_path("node_id").alias("file_path"), F.col("kind").alias("selected_cwe_id"),
+        *_scope(failures), "node_id", px.bare_path("node_id").alias("file_path"), F.col("kind").alias("selected_cwe_id"),
         F.when(F.col("kind") == "TIMEOUT", "Scan timed out").otherwise("Scan failed").alias("selected_cwe_name"),
         F.lit("Unknown").alias("severity"), F.substring("message", 1, 500).alias("selected_cwe_reason"))
 
 
 def attach_rule_findings(layer2: DataFrame, rule_files: DataFrame) -> DataFrame:
     """Layer-2 items with the rule findings of the same file (``layer1_findings``)."""
-    keyed = rule_files.select(px.bare_path("file_path").alias("__path"),
+    scope = _scope(layer2, rule_files)
+    keyed = rule_files.select(*scope, px.bare_path("file_path").alias("__path"),
                               F.col("findings").alias("layer1_findings"))
     return layer2.withColumn("__path", px.bare_path(px.to_file_node_id("file_path"))).join(
-        keyed, "__path", "left").drop("__path")
+        keyed, [*scope, "__path"], "left").drop("__path")
 
 
 # --- grouping by file ------------------------------------------------------------------------
 
-def rank_files(rule_hits: DataFrame, layer2: DataFrame, max_files: int = 30) -> DataFrame:
+def rank_files(rule_hits: DataFrame, layer2: DataFrame, max_files: int = 0) -> DataFrame:
     """Files by falling rank of their worst important finding; a layer-2 item counts as rank 2.
 
     ``rule_hits`` is long (file_path, line, rule_id, category, severity) and ``layer2`` has
     file_path.  Both sides are reduced per file before they meet; 0 lifts the cap.
     """
+    scope = _scope(rule_hits, layer2)
     hits = rule_hits.filter(
         (px.bare_path("file_path") != "") & ~px.should_ignore_file("file_path")
         & is_important_rule("severity", "category", "rule_id"))
-    by_rule = hits.groupBy(px.bare_path("file_path").alias("file_path")).agg(
+    by_rule = hits.groupBy(*scope, px.bare_path("file_path").alias("file_path")).agg(
         F.max(severity_rank("severity")).alias("file_rank"),
         F.count_distinct("line").alias("layer1_findings"),
         F.lit(0).cast("long").alias("layer2_items"))
     path = px.bare_path(px.extract_node_id("file_path"))
     by_model = layer2.filter((path != "") & ~px.should_ignore_file(path)).groupBy(
-        path.alias("file_path")).agg(
+        *scope, path.alias("file_path")).agg(
         F.lit(2).alias("file_rank"), F.lit(0).cast("long").alias("layer1_findings"),
         F.count("*").alias("layer2_items"))
-    ranked = by_rule.unionByName(by_model).groupBy("file_path").agg(
+    ranked = by_rule.unionByName(by_model).groupBy(*scope, "file_path").agg(
         F.max("file_rank").alias("file_rank"), F.sum("layer1_findings").alias("layer1_findings"),
         F.sum("layer2_items").alias("layer2_items"))
     if max_files > 0:
-        return ranked.orderBy(F.desc("file_rank"), "file_path").limit(max_files)
+        return ranked.orderBy(F.desc("file_rank"), "file_path", *scope).limit(max_files)
     return ranked
 
 
-def filter_stats(items: DataFrame, max_files: int = 30) -> DataFrame:
+def filter_stats(items: DataFrame, max_files: int = 0) -> DataFrame:
     """The eight counters of the file grouping, from one pass over the items."""
     layer1 = F.col("findings").isNotNull()
     layer2 = ~layer1 & F.col("result").isNotNull()
@@ -164,7 +170,7 @@ def filter_stats(items: DataFrame, max_files: int = 30) -> DataFrame:
         .withColumn("__kept", F.when(F.col("__l1") & F.col("__live"),
                                      F.size(filter_findings("findings"))).otherwise(0))
     )
-    per_file = flagged.groupBy("__path").agg(
+    per_file = flagged.groupBy(*_scope(items), "__path").agg(
         F.count("*").alias("n"),
         F.sum(F.col("__ignored").cast("long")).alias("ignored"),
         F.sum((F.col("__l1") & F.col("__live") & (F.col("__kept") == 0)).cast("long")).alias("dropped"),
@@ -196,7 +202,7 @@ def flatten_to_reports(matches: DataFrame) -> DataFrame:
     where = F.col("line").cast("string")
     description = F.coalesce("description", F.lit(""))
     return matches.select(
-        F.concat(F.lit("File:"), F.col("file_path")).alias("node_id"), "file_path", "line", "rule_id",
+        *_scope(matches), F.concat(F.lit("File:"), F.col("file_path")).alias("node_id"), "file_path", "line", "rule_id",
         cwe_of("category", "rule_id").alias("selected_cwe_id"),
         F.coalesce("name", F.lit("Vulnerability")).alias("selected_cwe_name"),
         F.initcap(F.coalesce("severity", F.lit("High"))).alias("severity"),
@@ -219,15 +225,16 @@ def combine_layers(*parts: DataFrame) -> DataFrame:
 
 
 def format_findings(matches: DataFrame) -> DataFrame:
-    """One text line per distinct (file, line, rule)."""
-    first = matches.groupBy("file_path", "line", "rule_id").agg(
-        F.min_by(F.struct("severity", "source", "name", "description"),
-                 F.struct("rule_seq", "match_seq")).alias("r"))
+    """One text line per distinct (repository, file, line, rule)."""
+    scope = _scope(matches)
+    turn = Window.partitionBy(*scope, "file_path", "line", "rule_id").orderBy("rule_seq", "match_seq")
+    first = matches.select(*scope, "file_path", "line", "rule_id", "severity", "source", "name", "description", "rule_seq", "match_seq").withColumn(
+        "__turn", F.row_number().over(turn)).filter(F.col("__turn") == 1)
     text = F.concat(
-        F.lit("  ⚠ ["), F.upper("r.severity"), F.lit("]["), F.col("r.source"), F.lit("] Line "),
-        F.col("line").cast("string"), F.lit(": "), F.col("r.name"), F.lit(" — "),
-        F.substring("r.description", 1, 100))
-    return first.select("file_path", "line", "rule_id", text.alias("text"))
+        F.lit("  ⚠ ["), F.upper("severity"), F.lit("]["), F.col("source"), F.lit("] Line "),
+        F.col("line").cast("string"), F.lit(": "), F.col("name"), F.lit(" — "),
+        F.substring("description", 1, 100))
+    return first.select(*scope, "file_path", "line", "rule_id", text.alias("text"))
 
 
 def issue_index(items: DataFrame) -> DataFrame:
@@ -274,26 +281,23 @@ def cwe_candidates(spark: SparkSession, categories: DataFrame, dictionary: DataF
 
 def prefilter_cwe(evidence: DataFrame, dictionary: DataFrame, key: str = "evidence_id",
                   text: str = "evidence") -> DataFrame:
-    """Weaknesses that the evidence text names or hints at; the whole dictionary when fewer than
-    three qualify.
+    """Weaknesses that the evidence text names or hints at: (key, cwe_id, cwe_name, whole_dictionary).
+
+    Where fewer than three qualify, every weakness is a candidate; such evidence has the flag ``whole_dictionary`` on its rows (one row
+    without a weakness, if none qualified), and the dictionary is not copied to it.
 
-    The dictionary (a public list of about a thousand ids) becomes one array, and every evidence
-    row filters it in place, which needs neither a join nor a shuffle.
+    Both sides meet by equality: an id that the text contains is a prefix of an id written there, and a hint is one of a dozen fixed
+    words.  The dictionary may have any size.  Ids have the form CWE-digits.
     """
-    entry = F.struct(F.trim(F.upper("cwe_id")).alias("cwe_id"), "cwe_name")
-    # One row more than the limit is enough to know that the list is not a weakness dictionary.
-    listing = dictionary.limit(MAX_DICTIONARY + 1).agg(F.when(
-        F.count("*") <= MAX_DICTIONARY, F.array_sort(F.collect_list(entry))).otherwise(
-        F.raise_error(F.lit(f"a weakness dictionary has at most {MAX_DICTIONARY} entries"))).alias("d"))
-
-    def pick(low: Column, entries: Column) -> Column:
-        hinted = F.filter(
-            words(fv.CWE_PREFILTER_KEYWORDS), lambda k: low.contains(k))
-        named = lambda e: (e["cwe_id"] != "") & low.contains(F.lower(e["cwe_id"]))
-        hint = lambda e: F.exists(hinted, lambda k: F.lower(e["cwe_name"]).contains(k))
-        kept = F.filter(entries, lambda e: named(e) | hint(e))
-        return F.when(F.size(kept) < 3, entries).otherwise(kept)
-
-    asked = evidence.select(key, F.lower(F.col(text)).alias("__low")).withColumn("__d", listing.scalar())
-    return asked.select(key, F.explode(pick(F.col("__low"), F.col("__d"))).alias("e")).select(
-        key, "e.cwe_id", "e.cwe_name").dropDuplicates([key, "cwe_id"])
+    low = F.lower(F.col(text))
+    hinted = F.filter(words(fv.CWE_PREFILTER_KEYWORDS), lambda k: low.contains(k))
+    written = F.array_distinct(F.regexp_extract_all(low, F.lit(r"cwe-[0-9]+"), F.lit(0)))
+    contained = F.flatten(F.transform(written, lambda w: F.transform(F.sequence(F.lit(5), F.length(w)), lambda n: F.left(w, n))))
+    asked = evidence.select(key, F.explode(F.array_distinct(F.concat(contained, hinted))).alias("sign"))
+    name = F.lower(F.coalesce("cwe_name", F.lit("")))
+    listed = dictionary.select(F.trim(F.upper("cwe_id")).alias("cwe_id"), "cwe_name").filter(F.col("cwe_id") != "").dropDuplicates(["cwe_id"])
+    signs = listed.select("cwe_id", "cwe_name", F.explode(F.concat(F.array(F.lower("cwe_id")), F.filter(words(fv.CWE_PREFILTER_KEYWORDS), lambda k: name.contains(k)))).alias("sign"))
+    hits = asked.join(signs, "sign").select(key, "cwe_id", "cwe_name").distinct()
+    counted = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    flagged = evidence.select(key).distinct().join(counted, key, "left").select(key, (F.coalesce("n", F.lit(0)) < 3).alias("whole_dictionary"))
+    return flagged.join(hits, key, "left").select(key, "cwe_id", "cwe_name", "whole_dictionary")

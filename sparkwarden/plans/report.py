@@ -95,9 +95,9 @@ def scan_report(files: DataFrame, functions: DataFrame, make_scorer=scoring.line
     by_file = scan.file_findings(matches)
     scored = scoring.keep_vulnerable(scoring.score_functions(functions, make_scorer))
     layer2 = scored.join(functions.drop("content", "calls"), "node_id").select(
-        "file_path", F.col("name").alias("function_name"), "start_line", "end_line", "result")
-    first = by_file.select("file_path", "findings", F.lit(1).alias("layer"), F.lit(0).cast("long").alias("seq"))
-    second = layer2.select("file_path", "result", F.lit(2).alias("layer"),
+        "repo", "file_path", F.col("name").alias("function_name"), "start_line", "end_line", "result")
+    first = by_file.select("repo", "file_path", "findings", F.lit(1).alias("layer"), F.lit(0).cast("long").alias("seq"))
+    second = layer2.select("repo", "file_path", "result", F.lit(2).alias("layer"),
                            F.coalesce("start_line", F.lit(0)).cast("long").alias("seq"))
     items = first.unionByName(second, allowMissingColumns=True)
     routed = findings.route_findings(findings.dedup_by_node(items))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -33,12 +34,12 @@ def build_session(master: str | None = None, app: str = "sparkwarden", **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a folder of its own, because there the driver and
-    the executors are one process.
+    Only a local-mode session may fall back to a folder of its own, as in tests, because there the driver and
+    the executors are one process (a local cluster's executors are not).
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -36,10 +36,10 @@ def _split_repo(files: DataFrame) -> DataFrame:
         "file_path", F.expr("substring(below, length(repo) + 2)"))
 
 
-def read_repo_files(spark: SparkSession, root: str, max_bytes: int = fv.MAX_FILE_BYTES) -> DataFrame:
-    """Source files of every repository folder under ``root``: repo, file_path, content."""
+def read_repo_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Source files of every repository folder under ``root``: repo, file_path, content.  ``max_bytes`` leaves larger files out."""
     files = _split_repo(read_tree(spark, root, max_bytes))
-    return files.filter(px.benchmark_source_file("file_path", "length")).select(
+    return files.filter(px.benchmark_source_file("file_path")).select(
         "repo", "file_path", _text().alias("content"))
 
 

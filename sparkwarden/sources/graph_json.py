@@ -35,17 +35,23 @@ def read_graph_json(spark: SparkSession, path: str, repo_name: str) -> Graph:
 
 def normalise(nodes: DataFrame, relations: DataFrame, repo_name: str) -> Graph:
     """Typed records.  Nodes without an id fall back to label:name, and are rejected when they have
-    neither; relations without both ends or a type are rejected.  Nothing is raised."""
+    neither, or when a property does not fit its type; relations without both ends or a type are rejected.  Nothing is raised."""
     p = F.col("properties")
 
     def prop(name: str, kind: str) -> Column:
-        return F.element_at(p, name).cast(kind)
+        return F.nullif(F.trim(F.element_at(p, name)), F.lit("")).try_cast(kind) if kind != "string" else F.element_at(p, name)
 
     usable_id = F.coalesce(F.nullif("id", F.lit("")), F.concat_ws(":", "label", prop("name", "string")))
     has_id = (F.coalesce("id", F.lit("")) != "") | prop("name", "string").isNotNull()
+    unfit = F.lit(False)
+    for pair in NODE_PROPERTIES.split(","):
+        name, kind = pair.split(":")
+        if kind != "string":
+            unfit = unfit | (F.coalesce(F.trim(F.element_at(p, name)), F.lit("")) != "") & prop(name, kind).isNull()
+    usable = has_id & ~unfit
     rest = F.map_filter(p, lambda k, v: ~k.isin(*_USED) & v.isNotNull())
     typed = [prop(*pair.split(":")).alias(_snake(pair.split(":")[0])) for pair in NODE_PROPERTIES.split(",")]
-    good_nodes = nodes.filter(has_id).select(
+    good_nodes = nodes.filter(usable).select(
         F.lit(repo_name).alias("repo_name"), usable_id.alias("id"),
         F.coalesce(F.nullif("label", F.lit("")), F.lit("CodeElement")).alias("label"), *typed,
         F.coalesce(F.to_json(rest), F.lit("{}")).alias("raw_properties"))
@@ -56,7 +62,7 @@ def normalise(nodes: DataFrame, relations: DataFrame, repo_name: str) -> Graph:
         F.lit(repo_name).alias("repo_name"), F.col("sourceId").alias("from_id"),
         F.col("targetId").alias("to_id"), F.col("type").alias("relation_type"), "confidence", "reason",
         F.coalesce("step", F.lit(-1)).alias("step"))
-    rejected = nodes.filter(~has_id).select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("record")).unionByName(
+    rejected = nodes.filter(~usable).select(F.lit("node").alias("kind"), F.to_json(F.struct("*")).alias("record")).unionByName(
         relations.filter(~complete).select(F.lit("relation").alias("kind"), F.to_json(F.struct("*")).alias("record")))
     return Graph(good_nodes, good_relations, rejected)
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sparkwarden.session import shared_folder
 
 NODE_KEY = ("repo_name", "id")
 RELATION_KEY = ("repo_name", "from_id", "relation_type", "to_id", "step")
 
 
 def last_per_key(source: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Latest row of every key; later rows win.  Duplicates combine before the shuffle."""
+    """Latest row of every key; later rows win.  Each task keeps one row of a key before the shuffle."""
     rest = [c for c in source.columns if c not in keys and c != order]
-    latest = source.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("r"))
-    return latest.select(*keys, "r.*")
+    turn = Window.partitionBy(*keys).orderBy(F.desc(order), *[F.desc(c) for c in rest])
+    return source.withColumn("__turn", F.row_number().over(turn)).filter(F.col("__turn") == 1).select(*keys, *rest)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -42,10 +46,25 @@ def write_partitioned(df: DataFrame, path: str, partition: str = "repo_name") ->
     df.hint("rebalance", F.col(partition)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def replace_repo(nodes: DataFrame, relations: DataFrame, node_path: str, relation_path: str, order: str = "seq") -> None:
-    """Replace a repository's nodes and relations, one atomic partition swap per table."""
-    write_partitioned(last_per_key(relations, RELATION_KEY, order), relation_path)
-    write_partitioned(last_per_key(nodes, NODE_KEY, order), node_path)
+def replace_repo(nodes: DataFrame, relations: DataFrame, node_path: str, relation_path: str, repos: Sequence[str], order: str = "seq") -> None:
+    """Replace the nodes and relations of ``repos``, one atomic partition swap per table.
+
+    A listed repository without rows in one of the tables is cleared there, so nothing of an earlier sync stays.
+    """
+    for rows, keys, path in ((relations, RELATION_KEY, relation_path), (nodes, NODE_KEY, node_path)):
+        fresh = last_per_key(rows, keys, order)
+        write_partitioned(fresh, path)
+        # no more names than the list has
+        present = {r[0] for r in fresh.select("repo_name").filter(F.col("repo_name").isin(list(repos))).distinct().collect()}
+        for repo in set(repos) - present:
+            _clear_partition(fresh.sparkSession, path, "repo_name", repo)
+
+
+def _clear_partition(spark: SparkSession, path: str, column: str, value: str) -> None:
+    jvm = spark._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={escape(value)}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def append_sync_run(meta: DataFrame, path: str) -> None:
@@ -81,14 +100,16 @@ def checkpointed_run(spark: SparkSession, work: DataFrame, path: str, keys: Sequ
     """
     done = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
     slot = F.pmod(F.xxhash64(*keys), F.lit(batches))
-    todo = pending(work, done, keys).withColumn("__slot", slot)
+    # written once by slot, so a batch reads its own folder only
+    todo = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/todo-{uuid.uuid4().hex}"
+    pending(work, done, keys).withColumn("__slot", slot).write.partitionBy("__slot").parquet(todo)
     ran = 0
     for i in range(batches):
-        part = todo.filter(F.col("__slot") == i).drop("__slot")
-        if part.isEmpty():
-            continue
-        process(part).write.mode("append").parquet(path)
-        ran += 1
+        if _exists(spark, f"{todo}/__slot={i}"):
+            process(spark.read.schema(work.schema).parquet(f"{todo}/__slot={i}")).write.mode("append").parquet(path)
+            ran += 1
+    folder = spark._jvm.org.apache.hadoop.fs.Path(todo)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return ran
 
 

@@ -37,10 +37,10 @@ def stream_sync(stream: DataFrame, path: str, keys: Sequence[str], order: str, c
 
 
 def current_rows(spark: SparkSession, path: str, schema, keys: Sequence[str], order: str) -> DataFrame:
-    """State of a change log: the row of the latest batch per key, later order values first."""
+    """State of a change log: per key the row of the largest order value; of equal ones that of the latest batch."""
     log = spark.read.schema(schema).option("basePath", path).parquet(path)
     rest = [c for c in log.columns if c not in keys and c not in (order, "batch")]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), F.struct("batch", order, *rest)).alias("r"))
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), F.struct(order, "batch", *rest)).alias("r"))
     return newest.select(*keys, "r.*")
 
 

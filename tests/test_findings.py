@@ -37,7 +37,7 @@ def test_files_rank_by_severity(spark):
                 ("File:src/critical.py", 8, "SEC008", "hardcoded_secret", "critical"),
                 ("File:latest/x.py", 8, "SEC008", "hardcoded_secret", "critical"))
     model = spark.createDataFrame([("Function:src/model.py:f",)], "file_path string")
-    got = findings.rank_files(hits, model).collect()
+    got = findings.rank_files(hits, model, 30).collect()
     assert [(r.file_path, r.file_rank, r.layer2_items) for r in got] == [("src/critical.py", 4, 0), ("src/model.py", 2, 1), ("src/warning.py", 2, 0)]
 
 

@@ -19,7 +19,8 @@ def test_file_trees(spark, tmp_path):
     for name, text in {"one/src/a.py": "x", "one/tests/b.py": "x", "one/big.py": "y" * 400_000, "two/Dockerfile": "FROM x", "two/readme.md": "r",
                        "two/build/c.py": "z", "two/test_d.py": "z"}.items():
         put(root / name, text)
-    assert rows(files.read_repo_files(spark, str(root)), "repo", "file_path", "content") == [
+    assert [r[0] for r in rows(files.read_repo_files(spark, str(root)), "file_path")] == ["Dockerfile", "big.py", "src/a.py", "test_d.py"]
+    assert rows(files.read_repo_files(spark, str(root), 350_000), "repo", "file_path", "content") == [
         ("one", "src/a.py", "x"), ("two", "Dockerfile", "FROM x"), ("two", "test_d.py", "z")]
     assert rows(files.read_scan_files(spark, str(root)), "repo", "file_path") == [
         ("one", "big.py"), ("one", "src/a.py"), ("one", "tests/b.py"), ("two", "Dockerfile")]
@@ -145,7 +146,7 @@ def test_responses(spark):
     df = spark.createDataFrame(list(enumerate(data)), "i int, t string")
     got = scoring.normalize_responses(df, "t", "r").orderBy("i").collect()
     assert [r.r.selected_cwe_id for r in got] == ["CWE-89", "CWE-79", "CWE-89", "UNMAPPED", "CWE-5"]
-    assert got[0].r.attack_path == '{"a": 1}\nb' and got[0].r.remediation == ["x"] and got[0].r.candidate_comparison == "[]"
+    assert got[0].r.attack_path == '{"a":1}\nb' and got[0].r.remediation == ["x"] and got[0].r.candidate_comparison == "[]"
     assert (got[1].r.selected_cwe_name, got[1].r.root_cause, got[1].r.severity, got[1].r.evidence_strength) == ("XSS", "rc", "High", "medium")
     assert got[4].r.root_cause == "a\\.b"
 
