@@ -38,7 +38,7 @@ WORDS = 5
 PERCENT = 80
 HEAVY, HEAVY_LEAST = 0.001, 64
 LEADERS = 4
-SEGMENT = 4_000_000
+SEGMENT = 2_000_000
 TILE = 2048
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -66,7 +66,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 def _bitmap(items: np.ndarray) -> bytes:
     """Bits of the shingles' places; a wider map folds onto a narrower one."""
-    width = max(64, 1 << int(2 * len(items) - 1).bit_length())
+    width = max(64, 1 << int(len(items) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(items.view(np.uint64) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -226,95 +226,114 @@ def _rare_meetings(base: DataFrame) -> DataFrame:
 
 
 def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different labels: each document's best partner in a tile, or all that the bitmaps let pass."""
-    node = scratch.save(nodes.join(labels, "id", "left").select("id", "n", "bitmap", F.coalesce("label", "id").alias("label")), "node")
-    mixed = meetings.join(node.select("id", "label"), "id").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    mixed = scratch.save(mixed.select("token"), "mixed")
-    met = scratch.save(meetings.join(mixed, "token", "left_semi").join(node.select("id", "n", "label"), "id").withColumn(
-        "band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")), "met")
-    home = met.withColumn("guest", F.lit(False))
-    guest = met.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True))
-    seats = home.union(guest)
-    sizes = scratch.save(seats.groupBy("token", "band").agg(
-        F.ceil(F.sum(F.when(F.col("guest"), 0).otherwise(1)) / TILE).cast("int").alias("homes"), F.ceil(F.sum(F.when(F.col("guest"), 1).otherwise(0)) / TILE).cast("int").alias("guests")).where("homes > 0"), "sizes")
-    seat = seats.join(sizes, ["token", "band"])
+    """Candidate pairs (a, b, token, band) of different labels that the bitmaps let pass.
+
+    With ``best`` each document of a tile names its best partner only, and tiles that hold more pairs are named in
+    rows without a pair.
+    """
+    node = scratch.save(nodes.join(labels, "id", "left").select("id", "n", "bitmap", F.coalesce("label", "id").alias("label"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("band")), "node")
+    met = scratch.save(meetings.join(node.select("id", "label", "band"), "id"), "met")
+    seats = met.withColumn("guest", F.lit(False)).union(met.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
+    counted = lambda guest: F.ceil(F.sum(F.when(F.col("guest") == guest, 1).otherwise(0)) / TILE).cast("int")
+    tiles = seats.groupBy("token", "band").agg(counted(False).alias("homes"), counted(True).alias("guests"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # a tile needs two labels; guests among themselves meet in the tile below
+    tiles = scratch.save(tiles.where("homes > 0 and low < high").drop("low", "high"), "tiles")
     h = F.xxhash64("id")
     mine = F.when(F.col("guest"), F.pmod(h, F.greatest("guests", F.lit(1)))).otherwise(F.pmod(h, "homes")).cast("int")
+    cell = lambda k, i, j: F.struct(F.lit(k).alias("k"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
     # cells (0, i, j): home blocks i <= j; cells (1, i, j): guest block i against home block j
-    to = F.when(F.col("guest"), F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda j: F.struct(F.lit(1).alias("k"), mine.alias("i"), j.alias("j")))).otherwise(F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda j: F.struct(F.lit(0).alias("k"), F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"))),
-        F.when(F.col("guests") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("guests") - 1, F.lit(0))), lambda i: F.struct(F.lit(1).alias("k"), i.alias("i"), mine.alias("j")))).otherwise(
-            F.array().cast("array<struct<k:int,i:int,j:int>>"))))
-    dealt = seat.withColumn("cell", F.explode(to)).select("token", "band", F.col("cell.k").alias("k"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "n", "label", "guest", mine.alias("mine"))
+    to = F.when(F.col("guest"), F.transform(upto(F.col("homes")), lambda j: cell(1, mine, j))).otherwise(F.concat(
+        F.transform(upto(F.col("homes")), lambda j: cell(0, F.least(mine, j), F.greatest(mine, j))),
+        F.when(F.col("guests") > 0, F.transform(upto(F.col("guests")), lambda i: cell(1, i, mine))).otherwise(F.array().cast("array<struct<k:int,i:int,j:int>>"))))
     cells = ["token", "band", "k", "i", "j"]
-    rows = dealt.join(node.select("id", "bitmap"), "id").withColumn("cell", F.xxhash64(*cells)).repartition(*cells).sortWithinPartitions("cell", *cells)
-    need = percent / (100 + percent)
-
-    def compare(kind, i, j, ids, n, label, guest, mine, maps, out):
-        if len(set(label.tolist())) < 2 or (kind == 1 and (guest.all() or not guest.any())):
-            return
-        m = _fold(maps)
-        values, counts = np.unique(label, return_counts=True)
-        common = values[counts.argmax()]
-        crowd = label == common
-        for r in np.flatnonzero(~crowd if not best else np.ones(len(ids), bool)):
-            other = label != label[r]
-            if kind == 1:
-                other &= guest != guest[r]
-            elif i != j:
-                other &= mine != mine[r]
-            if not best:
-                other &= crowd | (np.arange(len(ids)) > r)
-            other &= (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r]))
-            q = np.flatnonzero(other)
-            if not len(q):
-                continue
-            apart = np.bitwise_count(m[q] ^ m[r]).sum(axis=1, dtype=np.int64)
-            bound = (n[q] + n[r] - apart) / 2
-            ok = bound >= need * (n[q] + n[r]) - 1e-9
-            if not ok.any():
-                continue
-            q, slack = q[ok], (bound / (n[q] + n[r] - bound))[ok]
-            for x in [q[slack.argmax()]] if best else q:
-                a, b = int(ids[r]), int(ids[x])
-                out.add((min(a, b), max(a, b)))
+    dealt = seats.join(tiles, ["token", "band"]).withColumn("mine", mine).withColumn("cell", F.explode(to)).select("token", "band", F.col("cell.k").alias("k"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "label", "guest", "mine")
+    rows = dealt.join(node.select("id", "n", "bitmap"), "id").withColumn("cell", F.xxhash64(*cells)).repartition(*cells).sortWithinPartitions("cell", *cells)
+    share = percent / (100 + percent)
+
+    def passing(n: np.ndarray, label: np.ndarray, apart: np.ndarray | None, maps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of places (p < q) that may reach the threshold, with the bound of their similarity."""
+        m, out = None, []
+        for at in range(0, len(n), 256):
+            first = np.arange(at, min(at + 256, len(n)))[:, None]
+            second = np.arange(at + 1, len(n))[None, :]
+            ok = (second > first) & (label[first] != label[second]) & (100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second]))
+            if apart is not None:
+                ok &= apart[first] != apart[second]
+            p, q = np.nonzero(ok)
+            p, q = p + at, q + at + 1
+            for k in range(0, len(p), 20_000):
+                if m is None:
+                    m = _fold(maps)
+                x, y = p[k: k + 20_000], q[k: k + 20_000]
+                both = n[x] + n[y]
+                bound = (both - np.bitwise_count(m[x] ^ m[y]).sum(axis=1, dtype=np.int64)) / 2
+                fits = bound >= share * both - 1e-9
+                if fits.any():
+                    out.append((x[fits], y[fits], (bound / (both - bound))[fits]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
     def run(batches):
-        out: set = set()
         held: list[pa.RecordBatch] = []
+        found: list[tuple] = []
 
         def work(t: pa.Table):
-            cols = {c: t.column(c).to_numpy() for c in (*cells, "cell", "id", "n", "label", "mine")}
-            guest, maps = t.column("guest").to_numpy(), t.column("bitmap").to_pylist()
+            cols = {c: t.column(c).to_numpy() for c in (*cells, "id", "n", "label", "mine")}
+            guest, maps = t.column("guest").to_numpy(), t.column("bitmap")
             cuts = np.zeros(len(t), bool)
             cuts[0] = True
             for c in cells:
                 cuts[1:] |= cols[c][1:] != cols[c][:-1]
-            at = [*np.flatnonzero(cuts).tolist(), len(t)]
-            for a, b in zip(at, at[1:], strict=False):
-                if b - a > 1:
-                    compare(cols["k"][a], cols["i"][a], cols["j"][a], cols["id"][a:b], cols["n"][a:b], cols["label"][a:b], guest[a:b], cols["mine"][a:b], maps[a:b], out)
+            at = np.append(np.flatnonzero(cuts), len(t))
+            several = np.flatnonzero(np.diff(at) > 1)
+            lowest, highest = np.minimum.reduceat(cols["label"], at[:-1]), np.maximum.reduceat(cols["label"], at[:-1])
+            for g in several[lowest[several] < highest[several]].tolist():
+                a, b = int(at[g]), int(at[g + 1])
+                apart = guest[a:b] if cols["k"][a] == 1 else cols["mine"][a:b] if cols["i"][a] != cols["j"][a] else None
+                x, y, near = passing(cols["n"][a:b], cols["label"][a:b], apart, maps.slice(a, b - a).to_pylist())
+                if not len(x):
+                    continue
+                place = (int(cols["token"][a]), int(cols["band"][a]))
+                if best:
+                    whole = len(x)
+                    ends, pair = np.concatenate((x, y)), np.tile(np.arange(whole), 2)
+                    order = np.lexsort((pair, -np.tile(near, 2), ends))
+                    first = np.append(True, ends[order][1:] != ends[order][:-1])
+                    chosen = np.unique(pair[order][first])
+                    x, y = x[chosen], y[chosen]
+                    if len(x) < whole:
+                        found.append((np.array([-1]), np.array([-1]), place))
+                u, v = cols["id"][a:b][x], cols["id"][a:b][y]
+                found.append((np.minimum(u, v), np.maximum(u, v), place))
 
         def flush():
-            got = sorted(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
+            a, b, token, band = (np.concatenate([f(*x) for x in found]) if found else np.zeros(0, np.int64) for f in (
+                lambda u, v, w: u, lambda u, v, w: v, lambda u, v, w: np.full(len(u), w[0]), lambda u, v, w: np.full(len(u), w[1])))
+            found.clear()
+            if not best and len(a):
+                kept = np.unique(np.stack((a, b)), axis=1)
+                a, b = kept
+                token = band = np.zeros(len(a), np.int64)
+            none = a == -1
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64(), mask=none), pa.array(b, pa.int64(), mask=none), pa.array(token, pa.int64()), pa.array(band, pa.int64())], ["a", "b", "token", "band"])
 
         for batch in batches:
-            held.append(batch)
-            t = pa.Table.from_batches(held)
-            last = t.column("cell").to_numpy()
-            stop = int(np.flatnonzero(last != last[-1])[-1]) + 1 if len(t) and (last != last[-1]).any() else 0
-            if stop:
-                work(t.slice(0, stop).combine_chunks())
-                held = t.slice(stop).to_batches()
-            if len(out) > 500_000:
+            if not len(batch):
+                continue
+            last = batch.column("cell").to_numpy()
+            inner = np.flatnonzero(last != last[-1])
+            stop = int(inner[-1]) + 1 if len(inner) else 0
+            if held and last[0] != held[0].column("cell")[0].as_py() or stop:
+                work(pa.Table.from_batches([*held, batch.slice(0, stop)]).combine_chunks())
+                held = []
+            held.append(batch.slice(stop))
+            if sum(len(x) for x, _, _ in found) > 300_000:
                 yield flush()
-        if held and sum(map(len, held)):
+        if held:
             work(pa.Table.from_batches(held).combine_chunks())
         yield flush()
 
-    return scratch.save(rows.mapInArrow(run, "a long, b long").distinct(), "candidates")
+    return scratch.save(rows.mapInArrow(run, "a long, b long, token long, band long").distinct(), "candidates")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -328,10 +347,14 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     links = _verified(_leader_pairs(nodes, scratch, percent), docs, scratch, words, percent)
     labels = scratch.save(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels")
     meetings = scratch.save(_rare_meetings(base).union(base.select(F.explode("common").alias("token"), "id")), "meetings")
-    found = _verified(_tiles(meetings, nodes, labels, scratch, percent, best=True), docs, scratch, words, percent)
+    tried = _tiles(meetings, nodes, labels, scratch, percent, best=True)
+    found = _verified(tried.where("a is not null").select("a", "b"), docs, scratch, words, percent)
     links = scratch.save(links.union(found).distinct(), "links")
     labels = scratch.save(components(links, scratch).select(F.col("node").alias("id"), F.col("root").alias("label")), "labels")
-    found = _verified(_tiles(meetings, nodes, labels, scratch, percent, best=False), docs, scratch, words, percent)
+    # what the best partners leave open; both ends of a pair sit in the tile as home, or one band below as its guest
+    again = scratch.save(tried.where("a is null").select("token").distinct(), "again")
+    rest = _tiles(scratch.save(meetings.join(again, "token", "left_semi"), "rest"), nodes, labels, scratch, percent, best=False)
+    found = _verified(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), docs, scratch, words, percent)
     many = base.where("n > 0").groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("id")
     found = found.union(base.join(many, "id").join(classes, key).select("id", "rep"))
     roots = scratch.save(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found), scratch), "roots")
