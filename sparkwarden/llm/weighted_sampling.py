@@ -112,8 +112,8 @@ def compare_with_next(df: DataFrame, id_column: str = "doc_id", text: str = "tex
     """
     scratch = Scratch(df.sparkSession)
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # the number of ranges follows the session's shuffle partitions
-    ordered = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    # ranges of ids alone, as their bounds are found by sampling keys
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     names = ["id", *_FIELDS, "part", "edge", "edge_text"]
 
     def walk(batches):
