@@ -28,7 +28,7 @@ DIMENSIONS = 4096
 CENTROIDS = 4
 SAMPLE = 1500
 ENOUGH = 40
-REJECT = 0.5
+REJECT = 0.4
 ROWS = 1000
 UNKNOWN_LANGUAGE = "und"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -104,8 +104,12 @@ def fit(labelled: DataFrame) -> dict:
     freq = _frequencies(labelled).toArrow().to_pandas().set_index("place")["df"]
     n = int(freq.get(-1, 0))
     idf = np.log((n + 1) / (freq.reindex(range(DIMENSIONS), fill_value=0).to_numpy() + 1)).astype(np.float32) + np.float32(1)
-    turn = Window.partitionBy("__lang").orderBy(F.xxhash64(F.lit(9), "__id"), "__id")
-    chosen = labelled.where(F.length(F.trim("__text")) > 0).withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= SAMPLE)
+    # a hash threshold leaves about twice the sample per language, whatever its size; the exact cut follows on these rows
+    full = labelled.where(F.length(F.trim("__text")) > 0).withColumn("hash", F.xxhash64(F.lit(9), "__id"))
+    sizes = full.groupBy("__lang").agg(F.count(F.lit(1)).alias("size"))  # one row per language
+    near = full.join(F.broadcast(sizes), "__lang").where(F.pmod("hash", F.lit(1 << 30)) < (1 << 31) * SAMPLE / F.col("size"))
+    turn = Window.partitionBy("__lang").orderBy("hash", "__id")
+    chosen = near.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= SAMPLE)
 
     def vectors(batches):
         for b in _pieces(batches, "__text"):
