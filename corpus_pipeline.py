@@ -62,10 +62,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, decoded_sha256) of every row."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocab_path()).drop("text")
-    back = bpe.decode(ids, vocab_path())
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids) of every row."""
+    return bpe.digests(docs, vocab_path(), ["doc_id", "lang", "source"], with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

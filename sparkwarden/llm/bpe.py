@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from sparkwarden.llm.common import chunks, ranges, span_hashes, widened
 
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
 # The byte alphabet's printable ranges, the contractions and the white space of the public pre-tokeniser.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -352,10 +352,11 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decode
     return out.mapInArrow(run, widened(out, **{text: "string"}))
 
 
-def digests(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text") -> DataFrame:
+def digests(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text", with_ids: bool = False) -> DataFrame:
     """``keep``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each row, encoding and decoding in one pass.
 
-    Ids are hashed as little-endian unsigned 32-bit integers, decoded text as UTF-8.
+    Ids are hashed as little-endian unsigned 32-bit integers, decoded text as UTF-8.  ``with_ids`` adds the column ``ids``.  One pass holds
+    one vocabulary per task; encode and decode one after the other would hold two.
     """
     base = df.select(*keep, df[text].alias("__text"))
 
@@ -367,7 +368,10 @@ def digests(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text")
                 data, at = memoryview(np.ascontiguousarray(got, "<u4")).cast("B"), (4 * bounds).tolist()
                 ids = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)] if len(got) else [hashlib.sha256().hexdigest()] * len(batch)
                 texts = [hashlib.sha256(t).hexdigest() for t in v.decode(got, bounds)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                out = [*(batch.column(c) for c in keep), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+                if with_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    schema = widened(df.select(*keep), n_tokens="long", ids_sha256="string", decoded_sha256="string")
+    schema = widened(df.select(*keep), n_tokens="long", ids_sha256="string", decoded_sha256="string", **({"ids": "array<int>"} if with_ids else {}))
     return base.mapInArrow(run, schema)

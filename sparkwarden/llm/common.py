@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from sparkwarden.session import shared_folder
 
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
