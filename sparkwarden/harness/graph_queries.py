@@ -34,7 +34,7 @@ def graph_node_page(spark, sf):
 SELECT {NODE_COLUMNS} FROM nodes WHERE repo_name = 'tpch' AND (label > 'Function' OR (label = 'Function' AND name > 'order_5')) ORDER BY label, name, id LIMIT 200""", "nodes"))
 def graph_node_keyset_page(spark, sf):
     n = nodes(spark, sf).filter(F.col("repo_name") == REPO)
-    return graph.page(graph.page_after(n, ["label", "name"], ["Function", "order_5"], 1 << 30), ["label", "name", "id"], 200).select(*_NODE)
+    return graph.page_after(n, ["label", "name", "id"], ["Function", "order_5"], 200).select(*_NODE)
 
 
 @query("graph_relation_page", with_views("""

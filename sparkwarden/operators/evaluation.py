@@ -325,7 +325,7 @@ def case_grid(templates: DataFrame, n: int, prefix: str) -> DataFrame:
     Each template row writes its own cases, so there is no join.
     """
     k = F.lit(templates.agg(F.count("*").alias("k")).scalar())
-    mine = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % F.col("__k") == F.col("slot"))
-    return templates.withColumn("__k", k.cast("int")).withColumn("i", F.explode(mine)).select(
+    mine = F.sequence(F.col("slot").cast("int"), F.lit(n - 1), F.col("__k"))
+    return templates.filter(F.col("slot") < n).withColumn("__k", k.cast("int")).withColumn("i", F.explode(mine)).select(
         F.concat(F.lit(prefix), F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("case_id"),
         F.floor(F.col("i") / F.col("__k")).alias("variant"), *[c for c in templates.columns if c != "slot"])

@@ -46,9 +46,12 @@ def page(df: DataFrame, order: Sequence[Column | str], limit: int, offset: int =
 
 
 def page_after(df: DataFrame, order: Sequence[str], after: Sequence, limit: int) -> DataFrame:
-    """Keyset page for deep paging: rows behind the given key, so no offset rows are carried."""
+    """Keyset page for deep paging: the first ``limit`` rows behind the given key, so no offset rows are carried.
+
+    ``order`` is a total order; ``after`` may give its first columns only and is then behind all rows that share them.
+    """
     beyond = F.lit(False)
-    for i, name in enumerate(order):
+    for i, name in enumerate(order[:len(after)]):
         equal = F.lit(True)
         for j in range(i):
             equal = equal & (F.col(order[j]) == F.lit(after[j]))
