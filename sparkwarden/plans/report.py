@@ -24,13 +24,13 @@ class Report(NamedTuple):
 def scan_candidates(files: DataFrame, functions: DataFrame) -> DataFrame:
     """Labelled finding candidates of both rule packs.
 
-    One row per (repo, path, line, rule, first 80 characters of the match); rows that cannot be
+    One row per (repo, path, line, rule, match); rows that cannot be
     labelled are dropped.  ``candidate_id`` is derived from that key, so it does not depend on how
     the rows are spread.
     """
     chosen = rules.rules_in(("core", "app"), rules.CANDIDATE_CATEGORIES)
     hits = scan.scan_rules(files, chosen, allow_ignores_case=True).withColumn(
-        "matched_key", F.substring("matched_text", 1, 80))
+        "matched_key", F.md5("matched_text"))
     key = ["repo", "file_path", "line", "rule_id", "matched_key"]
     first = hits.groupBy(*key).agg(F.min_by(
         F.struct("rule_seq", "match_seq", F.col("name").alias("rule_name"), "category", "matched_text"),
