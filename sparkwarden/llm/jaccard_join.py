@@ -6,14 +6,15 @@ threshold.  The result names each document's component of links; no link between
 1. *Sets.*  One pass hashes each whole text to its shingles (64 bits) and keeps per document the set's size,
    a 128-bit fingerprint, a bitmap as wide as the set is large, a few minimum hashes and the prefix: so many
    shingles in a fixed global order that two linked documents must share one.  The order puts shingles of
-   more than about a thousandth of all documents last, so a passage that many documents share leaves the
+   more than about ``HEAVY`` of all documents last, so a passage that many documents share leaves the
    prefixes.  That list has at most ``2 / HEAVY`` times the mean set size entries, whatever the input; it
    affects cost, never results.  Documents of equal sets are one from here on.
 2. *Leaders.*  Each group with an equal minimum hash is compared with its smallest member only.  This finds
    most links of large groups in linear work and gives their documents a common label.
 3. *Tiles.*  Documents meet in tiles: one prefix shingle and one band of sizes.  Sizes in a ratio of the
    threshold are in the same or neighbouring bands.  In a tile, differing bits of two bitmaps bound the overlap
-   from above, and only pairs of different labels that pass go on.  First each document names its best partner, the
+   from above, and only pairs of different labels that pass go on, each in the tile of its first common prefix shingle as
+   far as the documents' ``FIRSTS`` first shingles tell (they nearly always do).  First each document names its best partner, the
    confirmed links join labels, then all remaining pairs follow.  A large tile is dealt out in blocks to several tasks.
 4. *Verification* intersects the sorted shingle arrays of the candidates only.
 
@@ -36,9 +37,10 @@ from sparkwarden.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-HEAVY, HEAVY_LEAST = 0.001, 64
+HEAVY, HEAVY_LEAST = 0.0004, 64
 LEADERS = 4
-SEGMENT = 2_000_000
+SEGMENT = 4_000_000
+FIRSTS = 4
 TILE = 2048
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -201,7 +203,7 @@ def _leader_pairs(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame
 def _rare_meetings(base: DataFrame) -> DataFrame:
     """(token, id) of light prefix shingles that at least two documents have.
 
-    A light shingle is in less than about a thousandth of the documents, so no partition is hot.
+    A light shingle is in less than about ``HEAVY`` of the documents, so no partition is hot.
     """
     each = base.select("id", F.explode("rare").alias("token")).repartition("token").sortWithinPartitions("token")
 
@@ -225,13 +227,23 @@ def _rare_meetings(base: DataFrame) -> DataFrame:
     return each.select("token", "id").mapInArrow(shared, "token long, id long")
 
 
+def _met_before(token: np.ndarray, firsts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the pairs share one of their first shingles that comes before ``token`` in the order, and so met in another tile."""
+    known = np.where((firsts == token).any(axis=1), (firsts == token).argmax(axis=1), FIRSTS)
+    out = np.zeros(len(x), bool)
+    for p in range(FIRSTS):
+        for q in range(FIRSTS):
+            out |= (firsts[x, p] == firsts[y, q]) & (p < known[x]) & (q < known[y])
+    return out
+
+
 def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, best: bool) -> DataFrame:
     """Candidate pairs (a, b, token, band) of different labels that the bitmaps let pass.
 
     With ``best`` each document of a tile names its best partner only, and tiles that hold more pairs are named in
     rows without a pair.
     """
-    node = scratch.save(nodes.join(labels, "id", "left").select("id", "n", "bitmap", F.coalesce("label", "id").alias("label"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("band")), "node")
+    node = scratch.save(nodes.join(labels, "id", "left").select("id", "n", "bitmap", "firsts", F.coalesce("label", "id").alias("label"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("band")), "node")
     met = scratch.save(meetings.join(node.select("id", "label", "band"), "id"), "met")
     seats = met.withColumn("guest", F.lit(False)).union(met.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
     counted = lambda guest: F.ceil(F.sum(F.when(F.col("guest") == guest, 1).otherwise(0)) / TILE).cast("int")
@@ -248,10 +260,10 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
         F.when(F.col("guests") > 0, F.transform(upto(F.col("guests")), lambda i: cell(1, i, mine))).otherwise(F.array().cast("array<struct<k:int,i:int,j:int>>"))))
     cells = ["token", "band", "k", "i", "j"]
     dealt = seats.join(tiles, ["token", "band"]).withColumn("mine", mine).withColumn("cell", F.explode(to)).select("token", "band", F.col("cell.k").alias("k"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "label", "guest", "mine")
-    rows = dealt.join(node.select("id", "n", "bitmap"), "id").withColumn("cell", F.xxhash64(*cells)).repartition(*cells).sortWithinPartitions("cell", *cells)
+    rows = dealt.join(node.select("id", "n", "bitmap", "firsts"), "id").withColumn("cell", F.xxhash64(*cells)).repartition(*cells).sortWithinPartitions("cell", *cells)
     share = percent / (100 + percent)
 
-    def passing(n: np.ndarray, label: np.ndarray, apart: np.ndarray | None, maps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def passing(token: int, n: np.ndarray, label: np.ndarray, apart: np.ndarray | None, maps: list[bytes], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of places (p < q) that may reach the threshold, with the bound of their similarity."""
         m, out = None, []
         for at in range(0, len(n), 256):
@@ -269,6 +281,8 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
                 both = n[x] + n[y]
                 bound = (both - np.bitwise_count(m[x] ^ m[y]).sum(axis=1, dtype=np.int64)) / 2
                 fits = bound >= share * both - 1e-9
+                if fits.any():
+                    fits[fits] = ~_met_before(token, firsts, x[fits], y[fits])
                 if fits.any():
                     out.append((x[fits], y[fits], (bound / (both - bound))[fits]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -280,6 +294,7 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
         def work(t: pa.Table):
             cols = {c: t.column(c).to_numpy() for c in (*cells, "id", "n", "label", "mine")}
             guest, maps = t.column("guest").to_numpy(), t.column("bitmap")
+            firsts = t.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, FIRSTS)
             cuts = np.zeros(len(t), bool)
             cuts[0] = True
             for c in cells:
@@ -290,7 +305,7 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
             for g in several[lowest[several] < highest[several]].tolist():
                 a, b = int(at[g]), int(at[g + 1])
                 apart = guest[a:b] if cols["k"][a] == 1 else cols["mine"][a:b] if cols["i"][a] != cols["j"][a] else None
-                x, y, near = passing(cols["n"][a:b], cols["label"][a:b], apart, maps.slice(a, b - a).to_pylist())
+                x, y, near = passing(cols["token"][a], cols["n"][a:b], cols["label"][a:b], apart, maps.slice(a, b - a).to_pylist(), firsts[a:b])
                 if not len(x):
                     continue
                 place = (int(cols["token"][a]), int(cols["band"][a]))
@@ -343,7 +358,11 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     base = scratch.save(describe_sets(docs, words, percent), "base")
     key = ["n", "f1", "f2"]
     classes = scratch.save(base.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
-    nodes = scratch.save(base.where("n > 0").select(*key, "id", "mins", "bitmap").join(classes.withColumnRenamed("rep", "id"), [*key, "id"]).dropDuplicates([*key, "id"]).select("id", "n", "mins", "bitmap"), "nodes")
+    prefix = F.concat("rare", "common")
+    # a missing one is a value of the document's own
+    firsts = F.array(*[F.coalesce(F.get(prefix, F.lit(i)), F.xxhash64(F.lit("none"), "id", F.lit(i))) for i in range(FIRSTS)])
+    nodes = base.where("n > 0").select(*key, "id", "mins", "bitmap", firsts.alias("firsts")).join(classes.withColumnRenamed("rep", "id"), [*key, "id"])
+    nodes = scratch.save(nodes.dropDuplicates([*key, "id"]).select("id", "n", "mins", "bitmap", "firsts"), "nodes")
     links = _verified(_leader_pairs(nodes, scratch, percent), docs, scratch, words, percent)
     labels = scratch.save(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels")
     meetings = scratch.save(_rare_meetings(base).union(base.select(F.explode("common").alias("token"), "id")), "meetings")
