@@ -40,7 +40,7 @@ PERCENT = 80
 HEAVY, HEAVY_LEAST = 0.0004, 64
 LEADERS = 4
 SEGMENT = 4_000_000
-FIRSTS = 4
+FIRSTS = 3
 TILE = 2048
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -227,12 +227,15 @@ def _rare_meetings(base: DataFrame) -> DataFrame:
     return each.select("token", "id").mapInArrow(shared, "token long, id long")
 
 
-def _met_before(token: np.ndarray, firsts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the pairs share one of their first shingles that comes before ``token`` in the order, and so met in another tile."""
-    known = np.where((firsts == token).any(axis=1), (firsts == token).argmax(axis=1), FIRSTS)
+def _met_before(token: int, heavy: bool, firsts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the pairs share one of their first light or heavy shingles that comes before ``token`` in the order, and so met in another tile.
+
+    ``firsts`` holds ``FIRSTS`` light ones, then ``FIRSTS`` heavy ones.  Of a token that is not among them all of its own kind and all lighter ones come before.
+    """
+    known = np.where((firsts == token).any(axis=1), (firsts == token).argmax(axis=1), 2 * FIRSTS if heavy else FIRSTS)
     out = np.zeros(len(x), bool)
-    for p in range(FIRSTS):
-        for q in range(FIRSTS):
+    for p in range(2 * FIRSTS):
+        for q in range(2 * FIRSTS):
             out |= (firsts[x, p] == firsts[y, q]) & (p < known[x]) & (q < known[y])
     return out
 
@@ -259,11 +262,11 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
         F.transform(upto(F.col("homes")), lambda j: cell(0, F.least(mine, j), F.greatest(mine, j))),
         F.when(F.col("guests") > 0, F.transform(upto(F.col("guests")), lambda i: cell(1, i, mine))).otherwise(F.array().cast("array<struct<k:int,i:int,j:int>>"))))
     cells = ["token", "band", "k", "i", "j"]
-    dealt = seats.join(tiles, ["token", "band"]).withColumn("mine", mine).withColumn("cell", F.explode(to)).select("token", "band", F.col("cell.k").alias("k"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "label", "guest", "mine")
+    dealt = seats.join(tiles, ["token", "band"]).withColumn("mine", mine).withColumn("cell", F.explode(to)).select("token", "band", F.col("cell.k").alias("k"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "label", "guest", "mine", "heavy")
     rows = dealt.join(node.select("id", "n", "bitmap", "firsts"), "id").withColumn("cell", F.xxhash64(*cells)).repartition(*cells).sortWithinPartitions("cell", *cells)
     share = percent / (100 + percent)
 
-    def passing(token: int, n: np.ndarray, label: np.ndarray, apart: np.ndarray | None, maps: list[bytes], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def passing(token: int, heavy: bool, n: np.ndarray, label: np.ndarray, apart: np.ndarray | None, maps: list[bytes], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of places (p < q) that may reach the threshold, with the bound of their similarity."""
         m, out = None, []
         for at in range(0, len(n), 256):
@@ -282,7 +285,7 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
                 bound = (both - np.bitwise_count(m[x] ^ m[y]).sum(axis=1, dtype=np.int64)) / 2
                 fits = bound >= share * both - 1e-9
                 if fits.any():
-                    fits[fits] = ~_met_before(token, firsts, x[fits], y[fits])
+                    fits[fits] = ~_met_before(token, heavy, firsts, x[fits], y[fits])
                 if fits.any():
                     out.append((x[fits], y[fits], (bound / (both - bound))[fits]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -294,7 +297,8 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
         def work(t: pa.Table):
             cols = {c: t.column(c).to_numpy() for c in (*cells, "id", "n", "label", "mine")}
             guest, maps = t.column("guest").to_numpy(), t.column("bitmap")
-            firsts = t.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, FIRSTS)
+            firsts = t.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, 2 * FIRSTS)
+            heavy = t.column("heavy").to_numpy()
             cuts = np.zeros(len(t), bool)
             cuts[0] = True
             for c in cells:
@@ -305,7 +309,7 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
             for g in several[lowest[several] < highest[several]].tolist():
                 a, b = int(at[g]), int(at[g + 1])
                 apart = guest[a:b] if cols["k"][a] == 1 else cols["mine"][a:b] if cols["i"][a] != cols["j"][a] else None
-                x, y, near = passing(cols["token"][a], cols["n"][a:b], cols["label"][a:b], apart, maps.slice(a, b - a).to_pylist(), firsts[a:b])
+                x, y, near = passing(cols["token"][a], bool(heavy[a]), cols["n"][a:b], cols["label"][a:b], apart, maps.slice(a, b - a).to_pylist(), firsts[a:b])
                 if not len(x):
                     continue
                 place = (int(cols["token"][a]), int(cols["band"][a]))
@@ -358,14 +362,13 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     base = scratch.save(describe_sets(docs, words, percent), "base")
     key = ["n", "f1", "f2"]
     classes = scratch.save(base.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
-    prefix = F.concat("rare", "common")
     # a missing one is a value of the document's own
-    firsts = F.array(*[F.coalesce(F.get(prefix, F.lit(i)), F.xxhash64(F.lit("none"), "id", F.lit(i))) for i in range(FIRSTS)])
+    firsts = F.array(*[F.coalesce(F.get(part, F.lit(i)), F.xxhash64(F.lit("none"), "id", F.lit(part), F.lit(i))) for part in ("rare", "common") for i in range(FIRSTS)])
     nodes = base.where("n > 0").select(*key, "id", "mins", "bitmap", firsts.alias("firsts")).join(classes.withColumnRenamed("rep", "id"), [*key, "id"])
     nodes = scratch.save(nodes.dropDuplicates([*key, "id"]).select("id", "n", "mins", "bitmap", "firsts"), "nodes")
     links = _verified(_leader_pairs(nodes, scratch, percent), docs, scratch, words, percent)
     labels = scratch.save(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels")
-    meetings = scratch.save(_rare_meetings(base).union(base.select(F.explode("common").alias("token"), "id")), "meetings")
+    meetings = scratch.save(_rare_meetings(base).withColumn("heavy", F.lit(False)).union(base.select(F.explode("common").alias("token"), "id", F.lit(True).alias("heavy"))), "meetings")
     tried = _tiles(meetings, nodes, labels, scratch, percent, best=True)
     found = _verified(tried.where("a is not null").select("a", "b"), docs, scratch, words, percent)
     links = scratch.save(links.union(found).distinct(), "links")
