@@ -291,6 +291,16 @@ def predict_from_context(spark, sf):
     return d.select("doc_id", "s.*", evaluation.predict_from_signals("category", "s").alias("predicted"))
 
 
+def _evidence_score(spark, sf, text_chars):
+    d = _labelled_docs(spark, sf)
+    own = F.col("doc_id").cast("string")
+    score = retrieval.evidence_score(
+        {"function_id": F.when(F.col("doc_id") % 3 == 0, own).otherwise(F.lit("other")), "category": F.col("category"), "matched_text": F.lit("match"),
+         "file_path": F.when(F.col("doc_id") % 2 == 0, F.col("file_path")).otherwise(F.lit("other"))},
+        {"node_id": own, "file_path": F.col("file_path"), "name": F.lit("fn"), "content": F.col("content")}, F.col("doc_id") % 4, F.col("doc_id") % 20, text_chars)
+    return d.select("doc_id", F.round(score, 6).alias("score"))
+
+
 @query("evidence_score", with_views(f"""
 , d AS (SELECT doc_id, file_path, {_stripped("file_path || chr(10) || 'fn' || chr(10) || left(content, 3000)")} AS s, {_CATEGORY_SQL.format(k='doc_id')} AS category, doc_id % 4 AS dist, doc_id % 20 AS pos FROM files)
 SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END + greatest(0, 18 - dist * 6) + greatest(0, 4 - pos * 0.1::DOUBLE) + CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 0 END
@@ -299,13 +309,29 @@ SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END + greatest(0, 1
   + CASE WHEN category IN {in_list(fv.PATH_GUARDED_CATEGORIES)} AND {any_token('s', fv.PATH_GUARD_TOKENS)} THEN 10 ELSE 0 END
   - CASE WHEN {parts_in(fv.NON_RUNTIME_PARTS, 'string_split(lower(file_path), chr(47))')} OR regexp_matches(lower({_NAME}), '(^|[._-])(test|spec)([._-]|$)') THEN 18 ELSE 0 END, 6)::DOUBLE AS score FROM d""", "files"))
 def evidence_score(spark, sf):
-    d = _labelled_docs(spark, sf)
-    own = F.col("doc_id").cast("string")
-    score = retrieval.evidence_score(
-        {"function_id": F.when(F.col("doc_id") % 3 == 0, own).otherwise(F.lit("other")), "category": F.col("category"), "matched_text": F.lit("match"),
-         "file_path": F.when(F.col("doc_id") % 2 == 0, F.col("file_path")).otherwise(F.lit("other"))},
-        {"node_id": own, "file_path": F.col("file_path"), "name": F.lit("fn"), "content": F.col("content")}, F.col("doc_id") % 4, F.col("doc_id") % 20)
-    return d.select("doc_id", F.round(score, 6).alias("score"))
+    """As the reference reads it: the first 3,000 characters."""
+    return _evidence_score(spark, sf, 3000)
+
+
+@query("evidence_score_whole", with_views(f"""
+, d AS (SELECT doc_id, file_path, {_stripped("file_path || chr(10) || 'fn' || chr(10) || content")} AS s, {_CATEGORY_SQL.format(k='doc_id')} AS category, doc_id % 4 AS dist, doc_id % 20 AS pos FROM files)
+SELECT doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 40 ELSE 0 END + greatest(0, 18 - dist * 6) + greatest(0, 4 - pos * 0.1::DOUBLE) + CASE WHEN doc_id % 2 = 0 THEN 12 ELSE 0 END
+  + CASE WHEN {parts_in(fv.RUNTIME_PARTS, 'string_split(lower(file_path), chr(47))')} THEN 8 ELSE 0 END + CASE WHEN {any_token('s', fv.SOURCE_TOKENS)} THEN 12 ELSE 0 END + CASE WHEN {any_token('s', fv.SINK_TOKENS)} THEN 10 ELSE 0 END
+  + CASE WHEN {_SAFE} THEN 14 ELSE 0 END + CASE WHEN category = 'auth_bypass' AND {any_token('s', fv.AUTH_GUARD_TOKENS)} THEN 10 ELSE 0 END
+  + CASE WHEN category IN {in_list(fv.PATH_GUARDED_CATEGORIES)} AND {any_token('s', fv.PATH_GUARD_TOKENS)} THEN 10 ELSE 0 END
+  - CASE WHEN {parts_in(fv.NON_RUNTIME_PARTS, 'string_split(lower(file_path), chr(47))')} OR regexp_matches(lower({_NAME}), '(^|[._-])(test|spec)([._-]|$)') THEN 18 ELSE 0 END, 6)::DOUBLE AS score FROM d""", "files"))
+def evidence_score_whole(spark, sf):
+    return _evidence_score(spark, sf, None)
+
+
+def _text_context(spark, sf, text_chars):
+    functions = spread(doc_files(spark, sf)).select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("node_id"), "repo", "file_path", F.lit("doc").alias("name"), "content")
+    candidates = table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("candidate_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo"), F.lit(None).cast("string").alias("function_id"),
+        F.col("text").alias("rule_name"), F.lit("bench").alias("category"), F.lit("benchmark").alias("matched_text"), F.lit("x q").alias("file_path"))
+    found = retrieval.text_context(candidates, functions, text_chars=text_chars)
+    return found.select(F.col("candidate_id").alias("item_id"), F.col("node_id").cast("long").alias("doc_id"), F.round("score", 9).alias("score"), F.col("position").cast("int").alias("position"))
 
 
 @query("text_context_topk", with_views(f"""
@@ -315,13 +341,18 @@ s AS (SELECT item_id, doc_id, len(list_intersect(q.w, f.w)) / sqrt(greatest(1, l
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0') DESC) - 1 AS position FROM s WHERE score > 0)
 SELECT item_id, doc_id, round(score, 9) AS score, position::INTEGER AS position FROM r WHERE position < 8""", "files"))
 def text_context_topk(spark, sf):
-    functions = spread(doc_files(spark, sf)).select(
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("node_id"), "repo", "file_path", F.lit("doc").alias("name"), "content")
-    candidates = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("candidate_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo"), F.lit(None).cast("string").alias("function_id"),
-        F.col("text").alias("rule_name"), F.lit("bench").alias("category"), F.lit("benchmark").alias("matched_text"), F.lit("x q").alias("file_path"))
-    found = retrieval.text_context(candidates, functions)
-    return found.select(F.col("candidate_id").alias("item_id"), F.col("node_id").cast("long").alias("doc_id"), F.round("score", 9).alias("score"), F.col("position").cast("int").alias("position"))
+    """As the reference reads it: the first 1,200 characters."""
+    return _text_context(spark, sf, 1200)
+
+
+@query("text_context_topk_whole", with_views(f"""
+, q AS (SELECT item_id, 'src' || (item_id % 20) AS repo, list_distinct(list_transform(regexp_extract_all(text || ' bench ' || 'benchmark' || ' x' || ' q', {quote(fv.TOKEN_PATTERN)}), lambda x: lower(x))) AS w FROM benchmark),
+f AS (SELECT doc_id, repo, list_distinct(list_transform(regexp_extract_all(file_path || ' doc ' || content, {quote(fv.TOKEN_PATTERN)}), lambda x: lower(x))) AS w FROM files),
+s AS (SELECT item_id, doc_id, len(list_intersect(q.w, f.w)) / sqrt(greatest(1, len(f.w))) AS score FROM q JOIN f ON q.repo = f.repo),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lpad(doc_id::VARCHAR, 12, '0') DESC) - 1 AS position FROM s WHERE score > 0)
+SELECT item_id, doc_id, round(score, 9) AS score, position::INTEGER AS position FROM r WHERE position < 8""", "files"))
+def text_context_topk_whole(spark, sf):
+    return _text_context(spark, sf, None)
 
 
 # --- scoring ----------------------------------------------------------------------------------
