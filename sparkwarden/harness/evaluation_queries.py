@@ -406,6 +406,12 @@ def extract_functions(spark, sf):
 @query("call_targets", with_views(_FUNCTIONS + """
 , r AS (SELECT name, node_id AS target_id, row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, node_id) AS k FROM functions) SELECT name, target_id FROM r WHERE k <= 8""", "code"))
 def call_targets(spark, sf):
+    """As the reference links: 8 of each name."""
+    return code.call_targets(code_functions(spark, sf), 8).drop("repo")
+
+
+@query("call_targets_all", with_views(_FUNCTIONS + "SELECT name, node_id AS target_id FROM functions", "code"))
+def call_targets_all(spark, sf):
     return code.call_targets(code_functions(spark, sf)).drop("repo")
 
 
@@ -418,6 +424,18 @@ e AS (SELECT w.node_id AS src, f.node_id AS dst FROM functions f JOIN whole w ON
   UNION SELECT a.node_id, b.node_id FROM imports JOIN whole a ON a.file_path = imports.file_path JOIN whole b ON b.file_path = imported)
 SELECT src, dst FROM e UNION SELECT dst, src FROM e""", "code"))
 def code_graph(spark, sf):
+    return code.build_code_graph(code_functions(spark, sf), code_files(spark, sf), 8).drop("repo")
+
+
+@query("code_graph_all", with_views(_FUNCTIONS + """
+, t AS (SELECT name, node_id FROM functions),
+whole AS (SELECT file_path, node_id FROM functions WHERE name = '<file>'),
+imports AS (SELECT DISTINCT file_path, imported FROM code WHERE imported IN (SELECT file_path FROM whole)),
+e AS (SELECT w.node_id AS src, f.node_id AS dst FROM functions f JOIN whole w ON w.file_path = f.file_path WHERE f.name <> '<file>'
+  UNION SELECT c.node_id, t.node_id FROM (SELECT node_id, unnest(calls) AS name FROM functions) c JOIN t ON t.name = c.name WHERE c.node_id <> t.node_id
+  UNION SELECT a.node_id, b.node_id FROM imports JOIN whole a ON a.file_path = imports.file_path JOIN whole b ON b.file_path = imported)
+SELECT src, dst FROM e UNION SELECT dst, src FROM e""", "code"))
+def code_graph_all(spark, sf):
     return code.build_code_graph(code_functions(spark, sf), code_files(spark, sf)).drop("repo")
 
 

@@ -159,6 +159,13 @@ def graph_stats_all_files(spark, sf):
   FROM relations WHERE relation_type IN ('CALLS', 'IMPORTS'))
 SELECT node_id, caller_id, relation, step FROM r WHERE k <= 50""", "relations"))
 def graph_callers(spark, sf):
+    """As the reference asks: 50 of each node."""
+    return graph.callers(relations(spark, sf), limit=50).drop("repo_name")
+
+
+@query("graph_callers_all", with_views("""
+SELECT to_id AS node_id, from_id AS caller_id, relation_type AS relation, step FROM relations WHERE relation_type IN ('CALLS', 'IMPORTS')""", "relations"))
+def graph_callers_all(spark, sf):
     return graph.callers(relations(spark, sf)).drop("repo_name")
 
 
@@ -168,6 +175,13 @@ def graph_callers(spark, sf):
 SELECT node_id, callee_id, relation, step FROM r WHERE k <= 50""", "nodes", "relations"))
 def graph_callees(spark, sf):
     ids = nodes(spark, sf).filter(F.col("file_path") == "sup/n1.py").select("repo_name", F.col("id").alias("node_id"))
+    return graph.callees(relations(spark, sf), ids, limit=50).drop("repo_name")
+
+
+@query("graph_callees_all", with_views("""
+SELECT from_id AS node_id, to_id AS callee_id, relation_type AS relation, step FROM relations WHERE relation_type IN ('CALLS', 'IMPORTS') AND from_id IN (SELECT id FROM nodes)""", "nodes", "relations"))
+def graph_callees_all(spark, sf):
+    ids = nodes(spark, sf).select("repo_name", F.col("id").alias("node_id"))
     return graph.callees(relations(spark, sf), ids).drop("repo_name")
 
 

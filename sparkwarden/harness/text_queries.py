@@ -363,7 +363,13 @@ def mrl_normalize(spark, sf):
 head AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path) AS r FROM visible)
 SELECT repo, sha256(string_agg(content, '' ORDER BY file_path)) AS fingerprint, count(*) AS files FROM head WHERE r <= 100 GROUP BY repo""", "files"))
 def repo_fingerprint(spark, sf):
-    return file_sources.repo_fingerprint(doc_files(spark, sf))
+    """As the reference reads it: the first 100 files."""
+    return file_sources.repo_fingerprint(doc_files(spark, sf), 100)
+
+
+@query("repo_fingerprint_full")
+def repo_fingerprint_full(spark, sf):
+    return file_sources.repo_fingerprint_full(doc_files(spark, sf))
 
 
 @query("choose_repos", with_views("SELECT repo, count(*) AS n FROM files WHERE repo IN ('src2', 'src5') GROUP BY repo", "files"))

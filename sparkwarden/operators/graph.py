@@ -313,12 +313,15 @@ def path_contents(nodes: DataFrame, paths: DataFrame) -> DataFrame:
         "repo_name", "target_id", "id", block.alias("block"))
 
 
-def callers(edges: DataFrame, ids: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
-    """Edges of type CALLS or IMPORTS that arrive at each node; the type is filtered first."""
+def callers(edges: DataFrame, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Edges of type CALLS or IMPORTS that arrive at each node; the type is filtered first.
+
+    All of them, or the first ``limit`` of each node (50 in the reference).
+    """
     return _adjacent(edges, ids, "to_id", "from_id", "caller_id", limit)
 
 
-def callees(edges: DataFrame, ids: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
+def callees(edges: DataFrame, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     return _adjacent(edges, ids, "from_id", "to_id", "callee_id", limit)
 
 

@@ -69,14 +69,16 @@ def evaluate_contexts(candidates: DataFrame, contexts: dict[str, DataFrame]) ->
     return base.join(extra, "strategy")
 
 
-def evaluate_strategies(files: DataFrame, per_repo: int = 35, depth: int = 2, max_nodes: int = 8) -> DataFrame:
+def evaluate_strategies(files: DataFrame, per_repo: int | None = None, depth: int = 2, max_nodes: int = 8) -> DataFrame:
     """The retrieval ablation: local, text, graph and evidence-ranked contexts side by side.
 
     Functions, candidates and links feed all four strategies, so each is written once; parsing the
-    sources again for every use would dominate.
+    sources again for every use would dominate.  All candidates count, or the first ``per_repo`` of a
+    repository (35 in the reference).
     """
     functions = reliable_checkpoint(code.build_functions(files))
-    candidates = reliable_checkpoint(evaluation.top_per_repo(scan_candidates(files, functions), per_repo))
+    found = scan_candidates(files, functions)
+    candidates = reliable_checkpoint(found if per_repo is None else evaluation.top_per_repo(found, per_repo))
     links = reliable_checkpoint(code.build_code_graph(functions, files))
     ranked = retrieval.evidence_ranked_context(links, candidates, functions, depth, max_nodes)
     return evaluate_contexts(candidates, {

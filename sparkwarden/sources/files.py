@@ -63,11 +63,12 @@ def choose_repos(files: DataFrame, preferred: list[str], column: str = "repo") -
         ~F.col("__known") | F.col(column).isin(*preferred)).drop("__known")
 
 
-def repo_fingerprint(files: DataFrame, first: int = 100) -> DataFrame:
+def repo_fingerprint(files: DataFrame, first: int) -> DataFrame:
     """SHA-256 over the concatenated contents of each repository's first files in path order.
 
     Hidden files and folders do not count.  The cut to ``first`` files happens in every task
-    before the shuffle, so a repository gathers a bounded number of files.
+    before the shuffle, so a repository gathers a bounded number of files (100 in the reference);
+    ``repo_fingerprint_full`` reads all of them.
     """
     from pyspark.sql import Window as W
 
