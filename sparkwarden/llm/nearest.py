@@ -125,7 +125,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec
     rows = rows.where(F.size("vector") == dimension)
     asked = _usable(queries, id_column, vector).where(F.size("vector") == dimension).distinct()
     turn = Window.partitionBy("vector").orderBy("id")
-    few = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k + 1)
+    # rows may repeat; a vector's ids count once
+    few = rows.distinct().withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k + 1)
     unique = scratch.save(few.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("key", F.xxhash64("vector")), "unique")
     n = unique.count()
     depth = max(0, min(int(math.log2(CELLS)), math.ceil(math.log2(max(1, n / CELL_ROWS)))))

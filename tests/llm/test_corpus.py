@@ -98,6 +98,13 @@ def test_neighbours_edge_cases(spark):
     assert nearest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rows = [(1, [1.0, 2.0])] * 11 + [(i, [1.0, 2.0]) for i in range(2, 15)] * 2 + [(100, [1.0, 2.0]), (50, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r.id, r.score) for r in nearest.search(df, df.where("vec_id = 100")).orderBy("rank").collect()]
+    assert got == [(i, i, 0.0) for i in range(1, 11)]
+
+
 def test_chi2_distribution():
     draws = np.random.Generator(np.random.PCG64(1)).chisquare(nearest.LOW, 20_000)
     for q in (2.0, 8.0, 15.0):
