@@ -1,9 +1,10 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a bag of lower-case words, hashed to ``PLACES`` places, each weighed by its count.  For each sample every place has
-three random values that depend on the place and the seed only: r and c from a Gamma(2, 1) distribution and b uniform.  With
-weight w it draws the step t = floor(ln w / r + b) and the key ln c - r (t - b) - r; the place of the smallest key and its
-step are the sample.  Two texts agree in a sample with a probability equal to their generalised Jaccard similarity, the
+A text is a bag of lower-case words, each a 64-bit hash weighed by its count.  For each sample every word has
+three random values that depend on the word and the seed only: r and c from a Gamma(2, 1) distribution and b uniform.  With
+weight w it draws the step t = floor(ln w / r + b) and the key ln c - r (t - b) - r; the word of the smallest key and its
+step are the sample.  The values come from a counter-based hash, so every word has its own; a worker keeps those of
+``PLACES`` words at hand, which saves time and never changes results.  Two texts agree in a sample with a probability equal to their generalised Jaccard similarity, the
 sum of the smaller weights over the sum of the larger ones.
 
 A fingerprint holds ``SAMPLES`` samples of 16 bits in hex; likeness is the share of equal samples.  Texts without words have
@@ -29,37 +30,69 @@ from sparkwarden.llm.common import Scratch, chunks, lower_words, mix64, widened
 
 SAMPLES = 64
 PLACES = 1 << 15
+BLOCK = 2048
 SEED = 20
 EMPTY = "-"
 
 
 @functools.cache
-def _draws(samples: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """1 / r, b and r, and the key's constant part, of every place and sample."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    shape = (PLACES, samples)
-    r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-    log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-    b = rng.random(shape, dtype=np.float32)
-    return r, b, log_c + r * b - r
+def _counters() -> np.ndarray:
+    return mix64(np.arange(2 * SAMPLES, dtype=np.uint64) + np.uint64(SEED << 32)).reshape(2, 1, SAMPLES)
+
+
+def _draws(words: np.ndarray) -> np.ndarray:
+    """r, b and the key's constant part, of every word and sample."""
+    h, g = mix64(words[:, None] + _counters()[0]), mix64(words[:, None] + _counters()[1])
+    # two values of 23 bits from the upper bits of each hash, one from the lower bits of both
+    unit = lambda x: ((x & np.uint64(0x7FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-23)
+    gamma = lambda x: -np.log(unit(x >> np.uint64(41)) * unit(x >> np.uint64(18)))
+    r, b = gamma(h), unit(h << np.uint64(5) | g & np.uint64(31))
+    return np.stack([r, b, np.log(gamma(g)) + r * b - r], axis=1)
+
+
+@functools.cache
+def _kept() -> tuple[np.ndarray, np.ndarray]:
+    """The word kept in each place (at first one that belongs elsewhere) and its draws."""
+    return np.arange(1, PLACES + 1, dtype=np.uint64), np.empty((PLACES, 3, SAMPLES), np.float32)
+
+
+def _draws_of(words: np.ndarray) -> np.ndarray:
+    held, kept = _kept()
+    place = (words & np.uint64(PLACES - 1)).astype(np.int64)
+    out = kept[place]
+    new = np.flatnonzero(held[place] != words)
+    if len(new):
+        out[new] = _draws(words[new])
+        # of words with one place the last stays
+        last = place[new][::-1]
+        last, at = np.unique(last, return_index=True)
+        chosen = new[len(new) - 1 - at]
+        held[last], kept[last] = words[chosen], out[chosen]
+    return out
 
 
 def sketch(texts: list[str | None]) -> list[np.ndarray | None]:
     """``SAMPLES`` 16-bit samples of each text, or None without words."""
     words, bounds = lower_words(texts)
-    place = (words >> np.uint64(49)).astype(np.int64)
-    r, b, rest = _draws()
     out: list[np.ndarray | None] = []
     columns = np.arange(SAMPLES)
     for at, to in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
         if at == to:
             out.append(None)
             continue
-        p, n = np.unique(place[at:to], return_counts=True)
-        rp = r[p]
-        step = np.floor(np.log(n, dtype=np.float32)[:, None] / rp + b[p])
-        won = (rest[p] - rp * step).argmin(axis=0)
-        out.append((mix64(p[won].astype(np.uint64) * np.uint64(0x10001) + step[won, columns].astype(np.int64).view(np.uint64)) >> np.uint64(48)).astype(">u2"))
+        distinct, counts = np.unique(words[at:to], return_counts=True)
+        least = np.full(SAMPLES, np.inf, np.float32)
+        sample = np.zeros(SAMPLES, np.uint64)
+        for k in range(0, len(distinct), BLOCK):
+            p, n = distinct[k : k + BLOCK], counts[k : k + BLOCK]
+            r, b, rest = _draws_of(p).swapaxes(0, 1)
+            step = np.floor(np.log(n, dtype=np.float32)[:, None] / r + b)
+            key = rest - r * step
+            won = key.argmin(axis=0)
+            less = key[won, columns] < least
+            least = np.where(less, key[won, columns], least)
+            sample = np.where(less, p[won] * np.uint64(0x10001) + step[won, columns].astype(np.int64).view(np.uint64), sample)
+        out.append((mix64(sample) >> np.uint64(48)).astype(">u2"))
     return out
 
 

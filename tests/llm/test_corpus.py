@@ -63,6 +63,18 @@ def test_fingerprints(spark, documents):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_fingerprints_of_long_disjoint_texts():
+    n = 60_000
+    for at in range(3):
+        a, b = (" ".join(f"{side}{at}x{i}" for i in range(n)) for side in "ab")
+        one, other = weighted_sampling.sketch([a, b])
+        assert weighted_sampling.likeness(one, other) <= 2 / 64
+        assert (weighted_sampling.sketch([a])[0] == one).all()
+    half = " ".join(f"h{i}" for i in range(n))
+    one, other = weighted_sampling.sketch([half, half + " " + " ".join(f"k{i}" for i in range(n))])
+    assert abs(weighted_sampling.likeness(one, other) - 0.5) < 0.25
+
+
 def test_fingerprint_edge_cases(spark):
     df = spark.createDataFrame([(3, None, 1), (1, "a b", 1), (2, "", 1), (2, "z", 1), (2, "z", 1), (None, "q", 1)], "doc_id long, text string, id int")
     got = weighted_sampling.compare_with_next(df).orderBy("doc_id", "near_next").collect()
