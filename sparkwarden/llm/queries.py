@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 import corpus_pipeline
-from sparkwarden.llm import bpe, hard_negatives, jaccard_join, language_id, license_scan, mixing, nearest, pii, secret_scan, url_lists, weighted_sampling
+from sparkwarden.llm import bpe, collocations, hard_negatives, jaccard_join, language_id, license_scan, mixing, nearest, pii, secret_scan, url_lists, weighted_sampling
 from sparkwarden.llm.common import table
 from sparkwarden.llm.vocabulary import vocab_path
 
@@ -138,6 +138,35 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("spans.covered"), F.lit(0.0))).alias("score"))
 
 
+@_register
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of two and three words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), first=2000).withColumnRenamed("grp", "lang")
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+    SELECT lang, size, array_to_string(w[p:p + size - 1], ' ') AS phrase, w[p:p + size - 1] AS ws
+    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM words, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, any_value(ws) AS ws, count(*) AS n FROM grams GROUP BY lang, size, phrase),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE size > 1 AND n >= 10),
+cuts AS (
+    SELECT c.lang, c.phrase, c.size, c.n AS a, x.n AS l, y.n AS r, k, (1000000 * CAST(c.n AS HUGEINT) * c.n) // (CAST(x.n AS HUGEINT) * y.n) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (SELECT lang, array_to_string(ws[p:p + 1], ' ') AS phrase, n FROM (SELECT *, unnest([1, 2]) AS p FROM candidates WHERE size = 3)),
+longer AS (SELECT lang, phrase, max(n) AS outer_n FROM inner_phrases GROUP BY lang, phrase),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer g ON g.lang = lowest.lang AND g.phrase = lowest.phrase AND lowest.size = 2 WHERE g.outer_n IS NULL OR 100 * g.outer_n < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, CAST(total.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000"""
+
+
 @_register
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hard negatives for each of the five positives of every fiftieth vector; a seventh of all labels is noise."""
