@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 import corpus_pipeline
-from sparkwarden.llm import bpe, collocations, hard_negatives, jaccard_join, language_id, license_scan, mixing, nearest, pii, secret_scan, url_lists, weighted_sampling
+from sparkwarden.llm import bpe, collocations, hard_negatives, jaccard_join, language_id, license_scan, mixing, nearest, pii, quality, secret_scan, url_lists, weighted_sampling
 from sparkwarden.llm.common import table
 from sparkwarden.llm.vocabulary import vocab_path
 
@@ -189,4 +189,13 @@ hard AS (
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 3"""
 
 
+@_register
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of four fifths."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    kept = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    found = quality.assess(docs, quality.fit(docs, labels.where(~kept)))
+    return found.select("doc_id", kept.alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_passages", "top_passage")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
