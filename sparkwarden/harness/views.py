@@ -250,7 +250,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 def code_files(spark: SparkSession, sf: str) -> DataFrame:
     """Source files written from the sales tables: Python per order and customer, script per supplier."""
     order = table(spark, sf, "orders").select(_text("ord/o", _c("o_orderkey"), ".py").alias("file_path"), _text(
-        "import cust.c", _c("o_custkey"), "\n\ndef o", _c("o_orderkey"), "(request):\n    return c", _c("o_custkey"), "(request)\n").alias("content"))
+        "import cust.c", _c("o_custkey"), "\n\ndef o", _c("o_orderkey"), "(\n    request,\n):\n    return c", _c("o_custkey"), "(request)\n").alias("content"))
     customer = table(spark, sf, "customer").select(_text("cust/c", _c("c_custkey"), ".py").alias("file_path"), _text(
         "def c", _c("c_custkey"), "(request):\n    return eval(request.args)\n").alias("content"))
     supplier = table(spark, sf, "supplier").select(_text("sup/s", _c("s_suppkey"), ".js").alias("file_path"), _text(
@@ -282,7 +282,7 @@ UNION ALL SELECT file_path, 2, o_orderkey, NULL, NULL, NULL FROM model_hits"""
 _NEEDS["kept_hits"] = ("hits",)
 _NEEDS["item_rows"] = ("hits", "kept_hits", "model_hits")
 SQL["code"] = """
-SELECT 'ord/o' || o_orderkey || '.py' AS file_path, 'o' || o_orderkey AS name, 3 AS start_line, 4 AS end_line, 4 AS file_lines, ['c' || o_custkey] AS calls, 'cust/c' || o_custkey || '.py' AS imported FROM orders
+SELECT 'ord/o' || o_orderkey || '.py' AS file_path, 'o' || o_orderkey AS name, 3 AS start_line, 6 AS end_line, 6 AS file_lines, ['c' || o_custkey] AS calls, 'cust/c' || o_custkey || '.py' AS imported FROM orders
 UNION ALL SELECT 'cust/c' || c_custkey || '.py', 'c' || c_custkey, 1, 2, 2, ['eval'], NULL FROM customer
 UNION ALL SELECT 'sup/s' || s_suppkey || '.js', 's' || s_suppkey, 2, 4, 5, ['s' || s_suppkey, 'c' || s_suppkey], 'sup/s' || (s_suppkey + 1) || '.js' FROM supplier
 UNION ALL SELECT 'sup/s' || s_suppkey || '.js', 't' || s_suppkey, 5, 5, 5, ['random'], NULL FROM supplier"""
