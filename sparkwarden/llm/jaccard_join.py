@@ -9,18 +9,20 @@ threshold.  The result names each document's component of links; no link between
    more than about ``HEAVY`` of all documents last, so a passage that many documents share leaves the
    prefixes.  That list has at most ``2 / HEAVY`` times the mean set size entries, whatever the input; it
    affects cost, never results.  Documents of equal sets are one from here on.
-2. *Leaders.*  Each group with an equal minimum hash is compared with its smallest member only.  This finds
-   most links of large groups in linear work and gives their documents a common label.
+2. *Leaders.*  The smallest member leads each group with an equal minimum hash.  A document is compared with the leader it meets most often,
+   twice at least.  This finds most links of large groups in linear work and gives their documents a common label.
 3. *Tiles.*  Documents meet in tiles: one prefix shingle and one band of sizes.  Sizes in a ratio of the
    threshold are in the same or neighbouring bands.  In a tile, differing bits of two bitmaps bound the overlap
    from above, and only pairs of different labels that pass go on, each in the tile of its first common prefix shingle as
    far as the documents' ``FIRSTS`` first shingles tell (they nearly always do).  First each document names its best partner, the
-   confirmed links join labels, then all remaining pairs follow.  A large tile is dealt out in blocks to several tasks.
+   confirmed links join labels, then all remaining pairs follow.  In that last step the bitmaps are ``WIDE`` times as wide, so their bound comes
+   within a few percent of the overlap and drops the many pairs of a large group that are alike but not alike enough.  A large tile is dealt out in
+   blocks to several tasks.
 4. *Verification* intersects the sorted shingle arrays of the candidates only.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing.  With fewer words than a
 shingle the whole sequence is the only shingle.  Rows that repeat a document id count as one document, each with its own
-set size.  Other columns are ignored.
+set size.  Rows with a null id keep their set size, link with nothing and have a null component.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ HEAVY, HEAVY_LEAST = 0.0004, 64
 LEADERS = 4
 SEGMENT = 4_000_000
 FIRSTS = 3
-TILE = 2048
+TILE = 512
+WIDE = 16
+MEETS = 2
 _STEPS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -66,9 +70,9 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def _bitmap(items: np.ndarray) -> bytes:
+def _bitmap(items: np.ndarray, times: int = 1) -> bytes:
     """Bits of the shingles' places; a wider map folds onto a narrower one."""
-    width = max(64, 1 << int(len(items) - 1).bit_length())
+    width = times * max(64, 1 << int(len(items) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(items.view(np.uint64) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -83,6 +87,15 @@ def _fold(maps: list[bytes]) -> np.ndarray:
     return out
 
 
+_SALTS = mix64(np.arange(101, 101 + LEADERS, dtype=np.uint64))
+
+
+def _marks(items: np.ndarray) -> tuple[int, int]:
+    """A fingerprint of 128 bits of a set."""
+    u = items.view(np.uint64)
+    return tuple(int(mix64(u ^ salt).sum(dtype=np.uint64).view(np.int64)) for salt in _SALTS[:2])
+
+
 def heavy_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Sorted shingles of more than about ``HEAVY`` of all documents (all of those, and none below half of that)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +124,9 @@ def heavy_shingles(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     counts = scratch.save(counts.where("n >= 8 or docs > 0"), "heavy")
     total = counts.agg(F.sum("docs")).first()[0] or 0
     least = max(HEAVY_LEAST, HEAVY / 2 * total)
-    return np.sort(counts.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy())
+    out = np.sort(counts.where(F.col("n") >= least).select("token").toArrow().column(0).to_numpy())
+    scratch.drop(counts)
+    return out
 
 
 def describe_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -120,7 +135,6 @@ def describe_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     ``rare`` and ``common`` are the prefix's light and heavy shingles.
     """
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, words))
-    salts = mix64(np.arange(101, 101 + LEADERS, dtype=np.uint64))
 
     def run(batches):
         often = heavy.value
@@ -130,12 +144,12 @@ def describe_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
                 for s in shingle_sets(batch.column("__text").to_pylist(), words):
                     u = s.view(np.uint64)
                     n = len(s)
-                    a, b = mix64(u ^ salts[0]), mix64(u ^ salts[1])
+                    hashed = [mix64(u ^ salt) for salt in _SALTS]
                     cols["n"].append(n)
-                    cols["f1"].append(int(a.sum(dtype=np.uint64).view(np.int64)))
-                    cols["f2"].append(int(b.sum(dtype=np.uint64).view(np.int64)))
+                    cols["f1"].append(int(hashed[0].sum(dtype=np.uint64).view(np.int64)))
+                    cols["f2"].append(int(hashed[1].sum(dtype=np.uint64).view(np.int64)))
                     cols["bitmap"].append(_bitmap(s) if n else b"")
-                    cols["mins"].append([int(x.min().view(np.int64)) for x in (a, b, *(mix64(u ^ salt) for salt in salts[2:]))] if n else [])
+                    cols["mins"].append([int(x.min().view(np.int64)) for x in hashed] if n else [])
                     place = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
                     is_heavy = often[place] == s if len(often) else np.zeros(n, bool)
                     take = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -155,14 +169,32 @@ def _sizes_fit(a, b, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by intersecting their sorted arrays."""
-    pairs = scratch.save(pairs.distinct(), "pairs")
-    ids = scratch.save(pairs.select(F.col("a").alias("__id")).union(pairs.select(F.col("b").alias("__id"))).distinct(), "ids")
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(__id, __text) of the ids."""
     # A bitmap of fixed size (65,536 words) keeps most other texts out of the shuffle; the join decides.
     slot = F.xxhash64("__id").bitwiseAND(F.lit((1 << 22) - 1))
     bits = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(__id) & 63 AS int))")).alias("bits"))
     near = docs.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(bits), "word").where(F.expr("(bits & shiftleft(1L, cast(xxhash64(__id) & 63 AS int))) <> 0"))
+    return near.join(ids, "__id", "left_semi").select("__id", "__text")
+
+
+def _wide_maps(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, f1, f2, bitmap) of the ids' texts, with bitmaps ``WIDE`` times as wide."""
+    def run(batches):
+        for whole in batches:
+            for batch in chunks(whole, "__text"):
+                sets = shingle_sets(batch.column("__text").to_pylist(), words)
+                marks = [_marks(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
+                                                  pa.array([_bitmap(x, WIDE) if len(x) else b"" for x in sets], pa.binary())], ["id", "f1", "f2", "bitmap"])
+
+    return _texts_of(ids, docs).mapInArrow(run, "id long, f1 long, f2 long, bitmap binary").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, by intersecting their sorted arrays."""
+    pairs = scratch.save(pairs.distinct(), "pairs")
+    ids = scratch.save(pairs.select(F.col("a").alias("__id")).union(pairs.select(F.col("b").alias("__id"))).distinct(), "ids")
 
     def arrays(batches):
         for whole in batches:
@@ -170,7 +202,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, p
                 sets = shingle_sets(batch.column("__text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 
-    sets = scratch.save(near.join(ids, "__id", "left_semi").select("__id", "__text").mapInArrow(arrays, "id long, items array<long>"), "sets")
+    sets = scratch.save(_texts_of(ids, docs).mapInArrow(arrays, "id long, items array<long>"), "sets")
 
     def intersect(batches):
         for batch in batches:
@@ -197,7 +229,8 @@ def _leader_pairs(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame
     each = nodes.select("id", "n", F.posexplode("mins").alias("k", "least"))
     led = scratch.save(each.groupBy("k", "least").agg(F.min(F.struct("id", "n")).alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").select(
         "k", "least", F.col("leader.id").alias("a"), F.col("leader.n").alias("an")), "leaders")
-    return each.join(led, ["k", "least"]).where((F.col("a") != F.col("id")) & _sizes_fit(F.col("n"), F.col("an"), percent)).select("a", F.col("id").alias("b"))
+    met = each.join(led, ["k", "least"]).where((F.col("a") != F.col("id")) & _sizes_fit(F.col("n"), F.col("an"), percent)).groupBy(F.col("id").alias("b"), "a").count()
+    return met.where(F.col("count") >= MEETS).groupBy("b").agg(F.max(F.struct("count", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
 def _rare_meetings(base: DataFrame) -> DataFrame:
@@ -240,13 +273,13 @@ def _met_before(token: int, heavy: bool, firsts: np.ndarray, x: np.ndarray, y: n
     return out
 
 
-def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, best: bool) -> DataFrame:
+def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, percent: int, best: bool, docs: DataFrame, words: int) -> DataFrame:
     """Candidate pairs (a, b, token, band) of different labels that the bitmaps let pass.
 
     With ``best`` each document of a tile names its best partner only, and tiles that hold more pairs are named in
-    rows without a pair.
+    rows without a pair.  Otherwise wide bitmaps judge all pairs.
     """
-    node = scratch.save(nodes.join(labels, "id", "left").select("id", "n", "bitmap", "firsts", F.coalesce("label", "id").alias("label"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("band")), "node")
+    node = scratch.save(nodes.join(labels, "id", "left").select("id", "f1", "f2", "n", "bitmap", "firsts", F.coalesce("label", "id").alias("label"), F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int").alias("band")), "node")
     met = scratch.save(meetings.join(node.select("id", "label", "band"), "id"), "met")
     seats = met.withColumn("guest", F.lit(False)).union(met.withColumn("band", F.col("band") + 1).withColumn("guest", F.lit(True)))
     counted = lambda guest: F.ceil(F.sum(F.when(F.col("guest") == guest, 1).otherwise(0)) / TILE).cast("int")
@@ -263,12 +296,16 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
         F.when(F.col("guests") > 0, F.transform(upto(F.col("guests")), lambda i: cell(1, i, mine))).otherwise(F.array().cast("array<struct<k:int,i:int,j:int>>"))))
     cells = ["token", "band", "k", "i", "j"]
     dealt = seats.join(tiles, ["token", "band"]).withColumn("mine", mine).withColumn("cell", F.explode(to)).select("token", "band", F.col("cell.k").alias("k"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "id", "label", "guest", "mine", "heavy")
-    rows = dealt.join(node.select("id", "n", "bitmap", "firsts"), "id").withColumn("cell", F.xxhash64(*cells)).repartition(*cells).sortWithinPartitions("cell", *cells)
+    maps = node.select("id", "n", "bitmap", "firsts")
+    if not best:
+        ids = scratch.save(met.select(F.col("id").alias("__id")).distinct(), "ids")
+        maps = node.drop("bitmap", "band", "label").join(scratch.save(_wide_maps(ids, docs, words), "wide"), ["id", "f1", "f2"]).select("id", "n", "bitmap", "firsts")
+    rows = dealt.join(maps, "id").withColumn("cell", F.xxhash64(*cells)).repartition(*cells).sortWithinPartitions("cell", *cells)
     share = percent / (100 + percent)
 
     def passing(token: int, heavy: bool, n: np.ndarray, label: np.ndarray, apart: np.ndarray | None, maps: list[bytes], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of places (p < q) that may reach the threshold, with the bound of their similarity."""
-        m, out = None, []
+        m, wide, out = None, None, []
         for at in range(0, len(n), 256):
             first = np.arange(at, min(at + 256, len(n)))[:, None]
             second = np.arange(at + 1, len(n))[None, :]
@@ -279,13 +316,19 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
             p, q = p + at, q + at + 1
             for k in range(0, len(p), 20_000):
                 if m is None:
-                    m = _fold(maps)
+                    m = wide = _fold(maps)
+                    if not best:
+                        m = np.bitwise_or.reduce(wide.reshape(len(wide), WIDE, -1), axis=1)
                 x, y = p[k: k + 20_000], q[k: k + 20_000]
                 both = n[x] + n[y]
                 bound = (both - np.bitwise_count(m[x] ^ m[y]).sum(axis=1, dtype=np.int64)) / 2
                 fits = bound >= share * both - 1e-9
                 if fits.any():
                     fits[fits] = ~_met_before(token, heavy, firsts, x[fits], y[fits])
+                if not best and fits.any():
+                    x, y, both = x[fits], y[fits], both[fits]
+                    bound = (both - np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)) / 2
+                    fits = bound >= share * both - 1e-9
                 if fits.any():
                     out.append((x[fits], y[fits], (bound / (both - bound))[fits]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -352,33 +395,43 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
             work(pa.Table.from_batches(held).combine_chunks())
         yield flush()
 
-    return scratch.save(rows.mapInArrow(run, "a long, b long, token long, band long").distinct(), "candidates")
+    out = scratch.save(rows.mapInArrow(run, "a long, b long, token long, band long").distinct(), "candidates")
+    scratch.drop(node, met, tiles)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row; see the module for method and cases."""
     scratch = Scratch(df.sparkSession)
-    docs = df.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
-    base = scratch.save(describe_sets(docs, words, percent), "base")
+    every = df.select(F.col(id_column).alias("__id"), F.col(text).alias("__text"))
+    docs = every.where("__id is not null")
+    base = scratch.save(describe_sets(every, words, percent), "base")
+    some = base.where("id is not null and n > 0")
     key = ["n", "f1", "f2"]
-    classes = scratch.save(base.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "classes")
+    classes = scratch.save(some.groupBy(*key).agg(F.min("id").alias("rep")), "classes")
     # a missing one is a value of the document's own
     firsts = F.array(*[F.coalesce(F.get(part, F.lit(i)), F.xxhash64(F.lit("none"), "id", F.lit(part), F.lit(i))) for part in ("rare", "common") for i in range(FIRSTS)])
-    nodes = base.where("n > 0").select(*key, "id", "mins", "bitmap", firsts.alias("firsts")).join(classes.withColumnRenamed("rep", "id"), [*key, "id"])
-    nodes = scratch.save(nodes.dropDuplicates([*key, "id"]).select("id", "n", "mins", "bitmap", "firsts"), "nodes")
-    links = _verified(_leader_pairs(nodes, scratch, percent), docs, scratch, words, percent)
-    labels = scratch.save(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels")
-    meetings = scratch.save(_rare_meetings(base).withColumn("heavy", F.lit(False)).union(base.select(F.explode("common").alias("token"), "id", F.lit(True).alias("heavy"))), "meetings")
-    tried = _tiles(meetings, nodes, labels, scratch, percent, best=True)
+    nodes = some.select(*key, "id", "mins", "bitmap", firsts.alias("firsts")).join(classes.withColumnRenamed("rep", "id"), [*key, "id"])
+    nodes = scratch.save(nodes.dropDuplicates([*key, "id"]).select("id", *key, "mins", "bitmap", "firsts"), "nodes")
+    led = _verified(_leader_pairs(nodes, scratch, percent), docs, scratch, words, percent)
+    labels = scratch.save(led.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label")), "labels")
+    meetings = scratch.save(_rare_meetings(some).withColumn("heavy", F.lit(False)).union(some.select(F.explode("common").alias("token"), "id", F.lit(True).alias("heavy"))), "meetings")
+    tried = _tiles(meetings, nodes, labels, scratch, percent, True, docs, words)
     found = _verified(tried.where("a is not null").select("a", "b"), docs, scratch, words, percent)
-    links = scratch.save(links.union(found).distinct(), "links")
+    links = scratch.save(led.union(found).distinct(), "links")
+    scratch.drop(labels, led, found)
     labels = scratch.save(components(links, scratch).select(F.col("node").alias("id"), F.col("root").alias("label")), "labels")
     # what the best partners leave open; both ends of a pair sit in the tile as home, or one band below as its guest
     again = scratch.save(tried.where("a is null").select("token").distinct(), "again")
-    rest = _tiles(scratch.save(meetings.join(again, "token", "left_semi"), "rest"), nodes, labels, scratch, percent, best=False)
+    left = scratch.save(meetings.join(again, "token", "left_semi"), "rest")
+    scratch.drop(meetings)
+    rest = _tiles(left, nodes, labels, scratch, percent, False, docs, words)
     found = _verified(rest.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"), docs, scratch, words, percent)
-    many = base.where("n > 0").groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("id")
-    found = found.union(base.join(many, "id").join(classes, key).select("id", "rep"))
+    scratch.drop(nodes, left, again, tried, rest)
+    many = some.groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("id")
+    found = found.union(some.join(many, "id").join(classes, key).select("id", "rep"))
     roots = scratch.save(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(found), scratch), "roots")
     named = scratch.save(classes.join(roots, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("root", "rep").alias("root")), "named")
-    return base.select("id", *key).join(named, key, "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    scratch.drop(labels, links, classes, roots)
+    root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
+    return base.select("id", *key).join(named, key, "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), root.alias("component_id"))

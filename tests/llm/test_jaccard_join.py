@@ -48,5 +48,26 @@ def test_against_all_pairs(spark, monkeypatch):
     assert sorted(tuple(r) for r in jaccard_join.near_duplicates(df).collect()) == brute(rows)
 
 
+def test_rows_without_id(spark):
+    """They keep their size and link with nothing, nor do they link others."""
+    rows = [(1, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (7, "a b c d e f g"), (None, "x"), (9, "x y")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 3, 1), (None, 3, None), (None, 0, None), (7, 3, 1), (None, 1, None), (9, 1, 9)], key=repr)
+
+
+def test_large_group_of_pairs_just_below(spark, monkeypatch):
+    """Documents that share three quarters of their shingles with a centre link rarely; the last step meets them all."""
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 9)}"
+        rows.append((i, " ".join(w)))
+    assert sorted(map(tuple, jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_empty_table(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
