@@ -8,11 +8,13 @@ prefix that many words share is therefore encoded once.
 
 Pre-tokens are found and counted with array operations, so Python handles a distinct word once, not each
 occurrence.  There is no shuffle.  A task's memory is bound by the chunk size (or the longest text) and
-by ``CACHE_WORDS``, after which a worker starts its word table anew; results do not depend on either.
+by ``CACHE_WORDS`` and ``SEAMS``, after which a worker starts its tables of words and of token pairs anew, and a task that ends leaves no vocabulary
+in its worker; results do not depend on either.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import json
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 
 from sparkwarden.llm.common import chunks, ranges, span_hashes, widened
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000
+SEAMS = 200_000
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 4
 # The byte alphabet's printable ranges, the contractions and the white space of the public pre-tokeniser.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -193,8 +196,12 @@ class Vocabulary:
     def _learn(self, hashes: np.ndarray, words: list[bytes], special: dict[int, int]) -> None:
         order = sorted((i for i in range(len(words)) if i not in special), key=words.__getitem__)
         encoded: list[list[int]] = [[]] * len(words)
-        for i, ids in zip(order, self.encode_words([words[i] for i in order]), strict=True):
-            encoded[i] = ids
+        for at in range(0, len(order), CACHE_WORDS):
+            if len(self._adjacent) > SEAMS:
+                self._adjacent.clear()
+            part = order[at: at + CACHE_WORDS]
+            for i, ids in zip(part, self.encode_words([words[i] for i in part]), strict=True):
+                encoded[i] = ids
         for i, t in special.items():
             encoded[i] = [t]
         counts = np.array([len(e) for e in encoded], dtype=np.int64)
@@ -315,6 +322,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@contextlib.contextmanager
+def lent_vocabulary(path: str) -> Iterator[Vocabulary]:
+    """A vocabulary for one task: workers are reused, and what they keep would add to the stages that follow."""
+    try:
+        yield vocabulary(path)
+    finally:
+        vocabulary.cache_clear()
+
+
 def encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns and ``ids array<int>``, the encoding of every whole text.
 
@@ -325,12 +341,12 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids")
     fields = out.columns
 
     def run(batches):
-        v = vocabulary(vocab_path)
-        for whole in batches:
-            for batch in chunks(whole, text):
-                got, bounds = v.encode(batch.column(text).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), lists], [*fields, ids])
+        with lent_vocabulary(vocab_path) as v:
+            for whole in batches:
+                for batch in chunks(whole, text):
+                    got, bounds = v.encode(batch.column(text).to_pylist())
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), lists], [*fields, ids])
 
     return out.mapInArrow(run, widened(out, **{ids: "array<int>"}))
 
@@ -341,13 +357,13 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decode
     fields = out.columns
 
     def run(batches):
-        v = vocabulary(vocab_path)
-        for batch in batches:
-            column = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
-            counts = np.array([len(x) for x in column], dtype=np.int64)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = v.decode(flat, np.concatenate(([0], np.cumsum(counts))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array([t.decode() for t in texts], pa.string())], [*fields, text])
+        with lent_vocabulary(vocab_path) as v:
+            for batch in batches:
+                column = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
+                counts = np.array([len(x) for x in column], dtype=np.int64)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = v.decode(flat, np.concatenate(([0], np.cumsum(counts))))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), pa.array([t.decode() for t in texts], pa.string())], [*fields, text])
 
     return out.mapInArrow(run, widened(out, **{text: "string"}))
 
@@ -361,17 +377,17 @@ def digests(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text",
     base = df.select(*keep, df[text].alias("__text"))
 
     def run(batches):
-        v = vocabulary(vocab_path)
-        for whole in batches:
-            for batch in chunks(whole, "__text"):
-                got, bounds = v.encode(batch.column("__text").to_pylist())
-                data, at = memoryview(np.ascontiguousarray(got, "<u4")).cast("B"), (4 * bounds).tolist()
-                ids = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)] if len(got) else [hashlib.sha256().hexdigest()] * len(batch)
-                texts = [hashlib.sha256(t).hexdigest() for t in v.decode(got, bounds)]
-                out = [*(batch.column(c) for c in keep), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
-                if with_ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(out, schema.names)
+        with lent_vocabulary(vocab_path) as v:
+            for whole in batches:
+                for batch in chunks(whole, "__text"):
+                    got, bounds = v.encode(batch.column("__text").to_pylist())
+                    data, at = memoryview(np.ascontiguousarray(got, "<u4")).cast("B"), (4 * bounds).tolist()
+                    ids = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)] if len(got) else [hashlib.sha256().hexdigest()] * len(batch)
+                    texts = [hashlib.sha256(t).hexdigest() for t in v.decode(got, bounds)]
+                    out = [*(batch.column(c) for c in keep), pa.array(np.diff(bounds), pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+                    if with_ids:
+                        out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(out, schema.names)
 
     schema = widened(df.select(*keep), n_tokens="long", ids_sha256="string", decoded_sha256="string", **({"ids": "array<int>"} if with_ids else {}))
     return base.mapInArrow(run, schema)
