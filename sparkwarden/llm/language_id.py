@@ -29,7 +29,7 @@ CENTROIDS = 4
 SAMPLE = 1500
 ENOUGH = 40
 REJECT = 0.4
-ROWS = 1000
+ROWS = 128
 UNKNOWN_LANGUAGE = "und"
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
