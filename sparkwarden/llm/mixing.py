@@ -14,7 +14,7 @@ order or the partitioning of rows.
 
 Null and blank texts have size 0 and are never taken.  A null source is a source of its own, last in order.  Rows with equal id
 and text are taken alike up to the cut (rows tied in id and size share one place and are ordered arbitrarily but
-equal).  Columns named as the results are replaced.
+equal).  Rows with a null id are documents of their own, told apart by their size and number.  Columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -145,15 +145,16 @@ def select(docs: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
     inner = hashed.join(top.withColumnRenamed("from", "base"), ["pattern", "d1"])
     low = scratch.save(cut(inner, "d2", "base"), "low")
     short = hashed.join(low, ["pattern", "d2"])
-    run = Window.partitionBy("pattern").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("pattern").orderBy("h", "id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
     # a cell of both histograms: one document in 2 ** (2 * DIGITS)
-    ends = short.withColumn("to", F.col("from") + F.sum("size").over(run)).where("to <= rest").groupBy("pattern").agg(F.max("to").alias("to"), F.max(F.struct("h", "id", "size")).alias("edge"))
+    ends = short.withColumn("to", F.col("from") + F.sum("size").over(run)).where("to <= rest").groupBy("pattern").agg(F.max("to").alias("to"), F.max(F.struct("h", "id", "size", "copy")).alias("edge"))
     edge = scratch.save(low.join(ends, "pattern", "left").select("pattern", F.col("d2").alias("cut"), F.coalesce("to", "from").alias("filled"), "edge"), "edge")
-    marked = hashed.join(edge, "pattern", "left").withColumn("below", F.coalesce((F.col("d2") < F.col("cut")) | ((F.col("d2") == F.col("cut")) & F.col("edge").isNotNull() & (F.struct("h", "id", "size") <= F.col("edge"))), F.lit(False)))
+    marked = hashed.join(edge, "pattern", "left").withColumn("below", F.coalesce((F.col("d2") < F.col("cut")) | ((F.col("d2") == F.col("cut")) & F.col("edge").isNotNull() & (F.struct("h", "id", "size", "copy") <= F.col("edge"))), F.lit(False)))
     gap = F.col("rest") - F.col("filled")
     near = marked.where(~F.col("below") & F.col("filled").isNotNull()).where(F.abs(F.col("size") - gap) < gap)
-    filler = scratch.save(near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "h", "id", "size")).alias("x")).select("pattern", F.col("x.h").alias("h"), F.col("x.id").alias("id"), F.col("x.size").alias("size"), F.lit(1).alias("fill")), "filler")
-    out = marked.join(filler, ["pattern", "h", "id", "size"], "left")
+    filler = scratch.save(near.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "h", "id", "size", "copy")).alias("x")).select(F.col("pattern").alias("p2"), F.col("x.h").alias("h2"), F.col("x.id").alias("id2"), F.col("x.size").alias("size2"), F.col("x.copy").alias("copy2"), F.lit(1).alias("fill")), "filler")
+    here = (F.col("pattern") == F.col("p2")) & (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")) & (F.col("size") == F.col("size2")) & (F.col("copy") == F.col("copy2"))
+    out = marked.join(filler, here, "left")
     return out.select("pattern", "id", "copy", "size", (F.col("whole") + F.when(F.col("below") | F.col("fill").isNotNull(), 1).otherwise(0)).cast("long").alias("rounds"))
 
 
@@ -166,7 +167,8 @@ def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: st
     """
     scratch = Scratch(df.sparkSession)
     sources = F.coalesce(F.array_distinct(F.col(source)), F.array().cast(df.schema[source].dataType)) if overlapping else F.array(F.col(source))
-    narrow = df.select(F.col(id_column).alias("id"), F.col(source).alias("source"), F.array_sort(sources).alias("sources"), word_count(F.col(text)).alias("size"))
+    # a null id is an id like others: it joins by its hash and by whether it is there
+    narrow = df.select(F.col(id_column).alias("id"), F.xxhash64(F.col(id_column).isNull(), id_column).alias("who"), F.col(source).alias("source"), F.array_sort(sources).alias("sources"), word_count(F.col(text)).alias("size"))
     narrow = narrow.withColumn("pattern", F.xxhash64(F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("-")))))
     copies = Window.partitionBy("id", "pattern", "size").orderBy("id")
     docs = scratch.save(narrow.withColumn("copy", F.row_number().over(copies)), "narrow")
@@ -177,5 +179,7 @@ def mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: st
     rounds = scratch.save(select(docs.select("pattern", "id", "size", "copy"), plan, scratch), "rounds")
     known = patterns.select("pattern", F.explode("sources").alias("s")).join(wanted, F.col("s").eqNullSafe(F.col("source"))).groupBy("pattern").agg(F.sum("source_size").alias("source_size"), F.sum("target").alias("target"))
     known = scratch.save(known, "known")
-    return docs.join(rounds.select("pattern", "id", "size", "copy", "rounds"), ["pattern", "id", "size", "copy"], "left").join(known, "pattern", "left").select(
+    same = docs["id"].eqNullSafe(F.col("id2")) & (docs["who"] == F.col("who2")) & (docs["pattern"] == F.col("p2")) & (docs["size"] == F.col("size2")) & (docs["copy"] == F.col("copy2"))
+    found = rounds.select(F.col("pattern").alias("p2"), F.col("id").alias("id2"), F.xxhash64(F.col("id").isNull(), "id").alias("who2"), F.col("size").alias("size2"), F.col("copy").alias("copy2"), "rounds")
+    return docs.join(found, same, "left").join(known, "pattern", "left").select(
         F.col("id").alias(id_column), "source", "copy", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("rounds", F.lit(0)).cast("long").alias("rounds"))

@@ -220,3 +220,21 @@ def test_pipeline_of_nothing_and_of_nulls(spark):
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
+
+
+def test_one_of_each_group_keeps_other_texts_of_an_id(spark):
+    a, b, c = ("one two three four five six " * 3 + x for x in ("alpha", "beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu", "q"))
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, a), (None, c + " z y x w v u t s r q p o n m l k j i h"), (None, None), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (None, rows[5][1]), (None, None), (4, None)], key=repr)
+
+
+def test_mix_takes_rows_without_an_id(spark):
+    rows = [(None, "w " * k, s) for k in range(1, 40) for s in ("a", "b", None)] + [(i, "w " * 20, "a") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).selectExpr("source", "target", "size * rounds AS taken", "rounds").collect()
+    assert len(got) == len(rows) and max(r["rounds"] for r in got) <= 2
+    for s in ("a", "b", None):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 20
