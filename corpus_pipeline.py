@@ -4,8 +4,8 @@ A stage is (name, function); a function takes (spark, docs, sf_dir) and returns
 again as the next one's docs.  All but the last return the columns of ``documents``.  ``run`` applies them all.
 
 1. Language ID drops texts that are null, have no letter, or lie far from every language.
-2. The n-gram Jaccard join keeps the document of the smallest id of each group of near duplicates (a row of it, if
-   rows repeat the id).
+2. The n-gram Jaccard join keeps the document of the smallest id of each group of near duplicates (a document is an id with a text; one row of it,
+   if rows repeat).
 3. PII replaces personal data in the text by its kind.
 4. Mixing keeps a document as often as its source's target asks for: not at all, once or twice.
 5. BPE encodes every text and decodes it again.
@@ -35,14 +35,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
-    found = jaccard_join.near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # rows that repeat an id: one stays, by text
-    turn = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    rest = docs.where("doc_id is null")
-    return kept.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select(*COLUMNS).union(rest.select(*COLUMNS))
+    """One document of each group of near duplicates: that of the smallest id (null ids last).
+
+    A document is its id and text, so one id with two texts is two documents, and documents without an id are told apart by their text.  Of rows that
+    repeat a document one stays, by source, language and length.
+    """
+    keyed = docs.withColumn("key", F.xxhash64(F.lit(1), "doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    found = jaccard_join.near_duplicates(keyed, "key").distinct()
+    first = keyed.select("key", "doc_id").join(found, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    kept = keyed.join(first.select("first.key"), "key", "left_semi")
+    turn = Window.partitionBy("key").orderBy("source", "lang", "n_chars")
+    return kept.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
