@@ -59,6 +59,19 @@ def vector_topk_by_label(spark, sf):
     return found.select("id", F.round("distance", 6).alias("distance"))
 
 
+@query("vector_topk_batch", f"""
+WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+t AS (SELECT query_id, vec_id AS id, {_COSINE.format(a='embedding', b='q.v')} AS distance FROM embeddings CROSS JOIN q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank FROM t)
+SELECT query_id, id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank < 50""")
+def vector_topk_batch(spark, sf):
+    """The fifty nearest records of every hundredth vector (itself among them)."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = e.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
+    found = search.vector_topk_batch(e, asked, 50)
+    return found.select("query_id", "id", (F.round("distance", 6) + F.lit(0.0)).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
 @query("fulltext_topk", "WITH unused AS (SELECT 1 AS one)" + _FULLTEXT + "SELECT id, rank::INTEGER AS rank, round(score, 6) AS score FROM tr")
 def fulltext_topk(spark, sf):
     return search.fulltext_topk(_records(spark, sf), _QUERY).select("id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,6 +66,53 @@ def vector_topk(vectors: DataFrame, query: Sequence[float] | Column, limit: int
     return ranked(scored, [F.asc_nulls_last("distance"), key], limit, key)
 
 
+def vector_topk_batch(vectors: DataFrame, queries: DataFrame, limit: int = 50, key: str = "id", column: str = "embedding",
+                      query_key: str = "query_id", query_column: str = "embedding", block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """Exact nearest neighbours by cosine distance of many queries: (query_key, key, distance, rank from 0).
+
+    Records and queries are dealt out in blocks by the hash of their key, and each pair of blocks meets once in a task that
+    multiplies them and keeps ``limit`` records per query, so only those are shuffled on.  Order and missing distances are those of ``vector_topk``:
+    a vector that is null, of length zero or of another dimension has none and comes last, ties go to the smaller key.
+    """
+    n, m = vectors.count(), queries.count()
+    blocks, parts = max(1, -(-n // block)), max(1, -(-m // query_block))
+
+    def dealt(df: DataFrame, name: str, vector: str, mine: str, count: int, other: str, others: int) -> DataFrame:
+        return df.select(F.col(name).alias("k"), vx.doubles(vector).alias("v"), F.pmod(F.xxhash64(name), F.lit(count)).cast("int").alias(mine),
+                         F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    left = dealt(vectors, key, column, "block", blocks, "part", parts)
+    right = dealt(queries, query_key, query_column, "part", parts, "block", blocks)
+
+    def lengths(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(axis=1))
+        return np.where(norm > 0, norm, np.nan)
+
+    def meet(records: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(records) and len(asked):
+            records = records.sort_values("k", kind="stable")
+            keys, far = records["k"].to_numpy(), np.full((len(asked), len(records)), np.nan)
+            width = lambda v: -1 if v is None or any(x is None for x in v) else len(v)
+            dims, wants = records["v"].map(width).to_numpy(), asked["v"].map(width).to_numpy()
+            for d in set(dims) & set(wants) - {-1, 0}:
+                rows, cols = np.flatnonzero(wants == d), np.flatnonzero(dims == d)
+                a, b = np.stack(asked["v"].iloc[rows].to_numpy()), np.stack(records["v"].iloc[cols].to_numpy())
+                far[np.ix_(rows, cols)] = 1.0 - (a @ b.T) / (lengths(a)[:, None] * lengths(b)[None, :])
+            for q, distance in zip(asked["k"], far, strict=True):
+                # rows are in key order, so a stable order by distance keeps ties right; missing distances sort last
+                first = np.argsort(distance, kind="stable")[:limit]
+                out += [(q, keys[i], None if np.isnan(distance[i]) else float(distance[i])) for i in first.tolist()]
+        return pd.DataFrame(out, columns=["q", "k", "distance"])
+
+    group = ["block", "part"]
+    kind = f"q {queries.schema[query_key].dataType.simpleString()}, k {vectors.schema[key].dataType.simpleString()}, distance double"
+    met = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(meet, kind)
+    order = W.partitionBy("q").orderBy(F.asc_nulls_last("distance"), "k")
+    return met.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit).select(
+        F.col("q").alias(query_key), F.col("k").alias(key), "distance", "rank")
+
+
 def terms(text: Column | str) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
