@@ -185,7 +185,7 @@ def graph_callees_all(spark, sf):
     return graph.callees(relations(spark, sf), ids).drop("repo_name")
 
 
-@query("impact_radius", with_views("SELECT to_id AS node_id, count(*) AS call_edges, min(from_id) AS first_caller FROM relations WHERE relation_type = 'CALLS' GROUP BY to_id", "relations"))
+@query("impact_radius", with_views("SELECT to_id AS node_id, count(*) AS call_edges, count(DISTINCT from_id) AS distinct_callers, min(from_id) AS first_caller FROM relations WHERE relation_type = 'CALLS' GROUP BY to_id", "relations"))
 def impact_radius(spark, sf):
     return graph.impact_radius(relations(spark, sf)).drop("repo_name")
 
@@ -217,6 +217,18 @@ def call_paths_top(spark, sf):
     return graph.call_paths(relations(spark, sf), _targets(n), 3).select("depth", "call_path")
 
 
+@query("call_paths_top_all", with_views("""
+, calls AS (SELECT from_id, to_id FROM relations WHERE relation_type IN ('CALLS', 'DATA_DEPENDS_ON')),
+paths AS (SELECT to_id AS target_id, from_id AS node, 1 AS depth, [to_id, from_id] AS path FROM calls
+  UNION ALL SELECT target_id, c.from_id, depth + 1, list_append(path, c.from_id) FROM paths JOIN calls c ON c.to_id = paths.node WHERE depth < 10 AND NOT list_contains(path, c.from_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY depth DESC, array_to_string(path, chr(1))) AS rank FROM paths)
+SELECT target_id, depth, array_to_string(list_reverse(path), ' -> ') AS call_path, rank::INTEGER AS rank FROM ranked WHERE rank <= 10""", "nodes", "relations", recursive=True))
+def call_paths_top_all(spark, sf):
+    """The ten deepest paths, up to ten calls deep, into every node."""
+    targets = nodes(spark, sf).select("repo_name", F.col("id").alias("target_id"))
+    return graph.call_paths(relations(spark, sf), targets, 10).select("target_id", "depth", "call_path", F.col("rank").cast("int").alias("rank"))
+
+
 _FIRST_ORDER = f"(SELECT min(from_id) FROM relations WHERE to_id = {ROOT_SQL} AND relation_type = 'CALLS')"
 
 

@@ -17,6 +17,7 @@ from sparkwarden.functions import fixed_values as fv
 from sparkwarden.functions import paths as px
 from sparkwarden.session import reliable_checkpoint
 
+WIDTH = 4  # prefixes of a level, as a multiple of the paths asked for
 EDGE_KEY = ("repo_name", "from_id", "relation_type", "to_id", "step")
 
 
@@ -257,51 +258,92 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: i
     return Subgraph(named, inside)
 
 
+def _walk_heights(calls: DataFrame, max_depth: int) -> DataFrame:
+    """(repo_name, node, height): the longest backward walk from each node that has a caller, at most ``max_depth`` steps."""
+    steps = reliable_checkpoint(calls.distinct())
+    level = reliable_checkpoint(steps.select("repo_name", "node").distinct())
+    found = level.withColumn("height", F.lit(1))
+    for height in range(2, max_depth + 1):
+        level = reliable_checkpoint(steps.join(level.withColumnRenamed("node", "caller"), ["repo_name", "caller"], "left_semi").select("repo_name", "node").distinct())
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.withColumn("height", F.lit(height)))
+    return reliable_checkpoint(found.groupBy("repo_name", "node").agg(F.max("height").alias("height")))
+
+
+def _first_step(calls: DataFrame, targets: DataFrame) -> DataFrame:
+    return targets.select("repo_name", F.col("target_id"), F.col("target_id").alias("node")).distinct().join(calls, ["repo_name", "node"]).select(
+        "repo_name", "target_id", F.col("caller").alias("node"), F.lit(1).alias("depth"), F.array("target_id", "caller").alias("path"))
+
+
+def _next_step(calls: DataFrame, level: DataFrame) -> DataFrame:
+    return level.join(calls, ["repo_name", "node"]).filter(~F.array_contains("path", F.col("caller"))).select(
+        "repo_name", "target_id", F.col("caller").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("caller")).alias("path"))
+
+
+def _deepest_paths(calls: DataFrame, heights: DataFrame, targets: DataFrame, max_depth: int, top: int, width: int) -> DataFrame:
+    """The ``top`` deepest paths of each target, ties by the path, with their rank.
+
+    A level keeps ``width`` prefixes per target, those of the greatest reach first: their depth plus the longest walk that goes on from their end.
+    The first prefix left out bounds all others.  A target is settled when none of these bounds comes before its last result;
+    the others are walked again with a wider level, so the result is exact.
+    """
+    left, results = targets.select("repo_name", "target_id").distinct(), None
+    while True:
+        level, found, out = _first_step(calls, left), None, None
+        for depth in range(1, max_depth + 1):
+            reach = F.col("depth") + F.least(F.coalesce("height", F.lit(0)), F.lit(max_depth) - F.col("depth"))
+            near = W.partitionBy("repo_name", "target_id").orderBy(F.desc("reach"), "key")
+            level = reliable_checkpoint(
+                level.join(heights, ["repo_name", "node"], "left").withColumn("reach", reach).withColumn("key", F.concat_ws("\u0001", "path"))
+                .withColumn("__r", F.row_number().over(near)).filter(F.col("__r") <= width + 1))
+            if level.isEmpty():
+                break
+            kept, cut = level.filter(F.col("__r") <= width), level.filter(F.col("__r") > width).select("repo_name", "target_id", "reach", "key")
+            found = kept if found is None else found.unionByName(kept)
+            out = cut if out is None else out.unionByName(cut)
+            level = _next_step(calls, kept.filter(F.col("reach") > F.col("depth")))
+        if found is None:
+            found, out = level, level.select("repo_name", "target_id", "reach", "key")
+        order = W.partitionBy("repo_name", "target_id").orderBy(F.desc("depth"), "key")
+        best = reliable_checkpoint(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(
+            "repo_name", "target_id", "depth", "path", "key", "rank"))
+        last = best.filter(F.col("rank") == top).select("repo_name", "target_id", F.col("depth").alias("depth_k"), F.col("key").alias("key_k"))
+        before = F.col("depth_k").isNull() | (F.col("reach") > F.col("depth_k")) | ((F.col("reach") == F.col("depth_k")) & (F.col("key") < F.col("key_k")))
+        again = reliable_checkpoint(out.join(last, ["repo_name", "target_id"], "left").filter(before).select("repo_name", "target_id").distinct())
+        if again.isEmpty():
+            return best if results is None else results.unionByName(best)
+        settled = best.join(again, ["repo_name", "target_id"], "left_anti")
+        results = settled if results is None else results.unionByName(settled)
+        left, width = again, width * 8
+
+
 def call_paths(edges: DataFrame, targets: DataFrame, max_depth: int = 10,
                exclude_nodes: Sequence[str] = (), top: int | None = 10,
                relations: Sequence[str] = fv.PATH_RELATIONS) -> DataFrame:
     """Backward paths into every target of ``targets`` (repo_name, target_id).
 
     Every prefix is a row.  ``path`` runs from the target to the farthest caller and never visits
-    a node twice.  With ``top`` the deepest paths of each target remain, ties ordered by the path.
-    Beyond three levels each level is checkpointed, which keeps the plan small and lets the loop
-    stop at the first empty frontier.
+    a node twice.  With ``top`` the deepest paths of each target remain, ties ordered by the path, and
+    only prefixes that can still be among them are walked.  Without it all simple paths are walked.  Each level
+    is written, so the plan stays small and the walk stops at the first empty level, whatever the depth.
     """
     wanted = edges.filter(F.col("relation_type").isin(*relations))
     if exclude_nodes:
         banned = list(exclude_nodes)
         wanted = wanted.filter(~F.col("from_id").isin(*banned) & ~F.col("to_id").isin(*banned))
     calls = wanted.select("repo_name", F.col("from_id").alias("caller"), F.col("to_id").alias("node"))
-    cut = max_depth > 3
-    level = (
-        targets.select("repo_name", F.col("target_id"), F.col("target_id").alias("node")).distinct()
-        .join(calls, ["repo_name", "node"])
-        .select("repo_name", "target_id", F.col("caller").alias("node"), F.lit(1).alias("depth"),
-                F.array("target_id", "caller").alias("path"))
-    )
-    found = None
+    shown = ("repo_name", "target_id", "depth", "path", F.array_join(F.reverse("path"), " -> ").alias("call_path"))
+    if top is not None:
+        return _deepest_paths(calls, _walk_heights(calls, max_depth), targets, max_depth, top, WIDTH * top).select(*shown, "rank")
+    level, found = _first_step(calls, targets), None
     for depth in range(1, max_depth + 1):
-        if cut:
-            level = reliable_checkpoint(level)
-            if level.isEmpty():
-                break
+        level = reliable_checkpoint(level)
         found = level if found is None else found.unionByName(level)
-        if depth == max_depth:
+        if depth == max_depth or level.isEmpty():
             break
-        level = (
-            level.join(calls, ["repo_name", "node"])
-            .filter(~F.array_contains("path", F.col("caller")))
-            .select("repo_name", "target_id", F.col("caller").alias("node"),
-                    (F.col("depth") + 1).alias("depth"),
-                    F.concat("path", F.array("caller")).alias("path"))
-        )
-    out = (level if found is None else found).select(
-        "repo_name", "target_id", "depth", "path",
-        F.array_join(F.reverse("path"), " -> ").alias("call_path"))
-    if top is None:
-        return out
-    order = W.partitionBy("repo_name", "target_id").orderBy(F.desc("depth"), F.concat_ws("\u0001", "path"))
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        level = _next_step(calls, level)
+    return (level if found is None else found).select(*shown)
 
 
 def path_contents(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -338,10 +380,14 @@ def _adjacent(edges, ids, key, other, name, limit):
 
 
 def impact_radius(edges: DataFrame) -> DataFrame:
-    """How many CALLS edges arrive at each node, and from how many distinct callers."""
-    return edges.filter(F.col("relation_type") == "CALLS").groupBy(
-        "repo_name", F.col("to_id").alias("node_id")).agg(
-        F.count("*").alias("call_edges"), F.min("from_id").alias("first_caller"))
+    """How many CALLS edges arrive at each node, and from how many distinct callers (``callers`` lists them).
+
+    Edges are counted per caller first, so a caller of many edges, and a node of many callers, add up before they meet.
+    """
+    calls = edges.filter(F.col("relation_type") == "CALLS").groupBy(
+        "repo_name", F.col("to_id").alias("node_id"), "from_id").agg(F.count("*").alias("n"))
+    return calls.groupBy("repo_name", "node_id").agg(
+        F.sum("n").alias("call_edges"), F.count("*").alias("distinct_callers"), F.min("from_id").alias("first_caller"))
 
 
 def forward_chains(edges: DataFrame, nodes: DataFrame, starts: DataFrame, max_depth: int = 4) -> DataFrame:

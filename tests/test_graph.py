@@ -1,6 +1,7 @@
 import random
 from collections import deque
 
+import pytest
 from conftest import rows
 
 from sparkwarden.operators import graph, impact, retrieval
@@ -78,6 +79,26 @@ def test_backward_paths_cut_cycles(spark):
     assert rows(graph.call_paths(rel, target, exclude_nodes=["b"]), "call_path") == [("x -> c",)]
 
 
+@pytest.mark.parametrize("seed,width,top,depth", [(1, 1, 3, 10), (2, 1, 2, 5), (3, 4, 10, 10), (4, 1, 1, 7)])
+def test_deepest_paths_equal_all_paths(spark, monkeypatch, seed, width, top, depth):
+    """Cycles, branches and dead ends; narrow levels must be walked again."""
+    monkeypatch.setattr(graph, "WIDTH", width)
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(14)]
+    edges = sorted({tuple(rng.sample(names, 2)) for _ in range(24)})
+    _, rel = make(spark, [(a, b, "CALLS") for a, b in edges])
+    targets = spark.createDataFrame([("r", n) for n in names], "repo_name string, target_id string")
+    want = []
+    for t in names:
+        live, every = [(t,)], []
+        for _ in range(depth):
+            live = [(*p, a) for p in live for a, b in edges if b == p[-1] and a not in p]
+            every += live
+        want += [(t, p, i) for i, p in enumerate(sorted(every, key=lambda p: (-len(p), "\u0001".join(p)))[:top], 1)]
+    got = graph.call_paths(rel, targets, depth, top=top)
+    assert sorted((r.target_id, tuple(r.path), r["rank"]) for r in got.collect()) == sorted(want)
+
+
 def test_forward_chains(spark):
     nodes, rel = make(spark, [("a", "b", "CALLS"), ("b", "c", "CALLS"), ("a", "a", "CALLS"), ("a", "d", "CALLS"), ("d", "a", "CALLS")])
     start = spark.createDataFrame([("r", "a")], "repo_name string, start_id string")
