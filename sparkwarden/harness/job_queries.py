@@ -57,7 +57,8 @@ def scan_report(spark, sf):
     return out.reports.filter(F.col("layer1_raw")).groupBy("selected_cwe_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query("scan_report_routes")
+@query("scan_report_routes", with_views("""
+SELECT 'job' AS route, 1 AS layer, count(DISTINCT file_path) AS n FROM code WHERE left(name, 1) IN ('c', 't')""", "code"))
 def scan_report_routes(spark, sf):
     """How the scan report routes its items."""
     out = report.scan_report(spread(code_files(spark, sf)), code_functions(spark, sf))
@@ -118,6 +119,26 @@ def replace_repo(spark, sf):
     return n.join(r, "repo_name", "left").select("repo_name", "n", "replaced", F.coalesce("relations", F.lit(0)).alias("relations"))
 
 
+@query("commit_repos", """
+SELECT 'r' || (c_nationkey % 5) AS repo_name, count(*) AS n, count(*) FILTER (c_nationkey % 5 = 2) AS replaced, count(*) FILTER (c_nationkey % 5 <> 2) AS relations,
+  CASE WHEN c_nationkey % 5 = 2 THEN 2 ELSE 1 END AS sync
+FROM customer WHERE c_nationkey % 5 <> 2 OR c_custkey % 2 = 0 GROUP BY ALL""")
+def commit_repos(spark, sf):
+    """Nodes, relations and the sync log in one commit; then one repository again, which has lost all its relations."""
+    root = _scratch(spark, "committed")
+    c = table(spark, sf, "customer").select(
+        F.concat(F.lit("r"), (F.col("c_nationkey") % 5).cast("string")).alias("repo_name"), F.col("c_custkey").cast("string").alias("id"), F.lit(0).alias("generation"), "c_custkey")
+    relations = c.select("repo_name", F.col("id").alias("from_id"), F.col("id").alias("to_id"))
+    log = lambda n: c.select("repo_name", F.lit(n).alias("sync")).distinct()
+    sinks.commit_repos(spark, root, {"nodes": c.drop("c_custkey"), "relations": relations, "sync_runs": log(1)}, [f"r{i}" for i in range(5)])
+    fresh = c.filter(F.col("c_custkey") % 2 == 0).drop("c_custkey").withColumn("generation", F.lit(1))
+    sinks.commit_repos(spark, root, {"nodes": fresh, "relations": relations.limit(0), "sync_runs": log(2)}, ["r2"])
+    n = sinks.read_committed(spark, root, "nodes", c.drop("c_custkey").schema).groupBy("repo_name").agg(F.count("*").alias("n"), F.sum("generation").alias("replaced"))
+    r = sinks.read_committed(spark, root, "relations", relations.schema).groupBy("repo_name").agg(F.count("*").alias("relations"))
+    s = sinks.read_committed(spark, root, "sync_runs", "repo_name string, sync int")
+    return n.join(r, "repo_name", "left").join(s, "repo_name").select("repo_name", "n", "replaced", F.coalesce("relations", F.lit(0)).alias("relations"), "sync")
+
+
 @query("checkpointed_run", "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders")
 def checkpointed_run(spark, sf):
     """Work in batches; a second call finds nothing left to do."""
@@ -169,6 +190,15 @@ def stream_progress(spark, sf):
     return _drain(jobs.stream_progress(events, "scan_id", "ts", "event_type", "value"), "complete")
 
 
+@query("stream_progress_fields", """
+SELECT user_id AS scan_id, max(ts) AS ts, arg_max(event_type, (ts, event_type)) FILTER (value >= 30) AS stage, arg_max(value, (ts, value)) FILTER (value < 60) AS percent FROM events GROUP BY user_id""")
+def stream_progress_fields(spark, sf):
+    """Updates that tell a stage, a percentage or both, merged field by field."""
+    events = _stream(spark, sf, "events").select(F.col("user_id").alias("scan_id"), "ts", F.when(F.col("value") >= 30, F.col("event_type")).alias("stage"),
+                                                 F.when(F.col("value") < 60, F.col("value")).alias("percent"))
+    return _drain(jobs.stream_progress_fields(events, "scan_id", "ts", "stage", "percent"), "complete")
+
+
 @query("stream_rule_scan", with_views(DOC_MATCHES + "SELECT rule_id, count(*) AS hits, count(DISTINCT (repo, file_path)) AS files FROM matches GROUP BY rule_id", "files"))
 def stream_rule_scan(spark, sf):
     docs = _stream(spark, sf, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("content"))

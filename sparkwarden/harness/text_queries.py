@@ -367,7 +367,8 @@ def repo_fingerprint(spark, sf):
     return file_sources.repo_fingerprint(doc_files(spark, sf), 100)
 
 
-@query("repo_fingerprint_full")
+@query("repo_fingerprint_full", with_views("""
+SELECT repo, md5(sum(CAST('0x' || left(sha256(file_path || '|' || sha256(content)), 15) AS HUGEINT))::VARCHAR || ':' || count(*)) AS fingerprint, count(*) AS files FROM files GROUP BY repo""", "files"))
 def repo_fingerprint_full(spark, sf):
     return file_sources.repo_fingerprint_full(doc_files(spark, sf))
 

@@ -83,7 +83,8 @@ def repo_fingerprint(files: DataFrame, first: int) -> DataFrame:
 
 def repo_fingerprint_full(files: DataFrame) -> DataFrame:
     """Order-free fingerprint of all files: the sum of per-file hashes, for repositories of any size."""
-    h = F.xxhash64("file_path", F.sha2("content", 256)).cast("decimal(38,0)")
+    one = F.sha2(F.concat(F.coalesce("file_path", F.lit("")), F.lit("|"), F.coalesce(F.sha2("content", 256), F.lit(""))), 256)
+    h = F.conv(F.substring(one, 1, 15), 16, 10).cast("decimal(38,0)")
     return files.groupBy("repo").agg(
         F.md5(F.concat_ws(":", F.sum(h).cast("string"), F.count("*").cast("string"))).alias("fingerprint"),
         F.count("*").alias("files"))

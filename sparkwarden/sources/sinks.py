@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sparkwarden.session import shared_folder
@@ -47,9 +48,10 @@ def write_partitioned(df: DataFrame, path: str, partition: str = "repo_name") ->
 
 
 def replace_repo(nodes: DataFrame, relations: DataFrame, node_path: str, relation_path: str, repos: Sequence[str], order: str = "seq") -> None:
-    """Replace the nodes and relations of ``repos``, one atomic partition swap per table.
+    """Replace the nodes and relations of ``repos``, one partition swap per table.
 
-    A listed repository without rows in one of the tables is cleared there, so nothing of an earlier sync stays.
+    A listed repository without rows in one of the tables is cleared there by a separate step, so nothing of an earlier sync stays.
+    Readers may see one table before the other; ``commit_repos`` changes all at once.
     """
     for rows, keys, path in ((relations, RELATION_KEY, relation_path), (nodes, NODE_KEY, node_path)):
         fresh = last_per_key(rows, keys, order)
@@ -67,6 +69,76 @@ def _clear_partition(spark: SparkSession, path: str, column: str, value: str) ->
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+# --- several tables in one commit ---------------------------------------------------------------
+# <root>/<table>/version=<v>/repo_name=<r>/...   rows of one sync
+# <root>/_manifests/<number>/                     (table, repo_name, version) of all rows that count, complete once _SUCCESS is there
+
+_MANIFEST = "table string, repo_name string, version string"
+
+
+def _children(spark: SparkSession, folder: str, must_hold: str | None = None) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    inner = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{must_hold}")
+    names = [x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()]
+    return sorted(n for n in names if must_hold is None or fs.exists(inner(n)))
+
+
+def _manifest(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
+    """Number and rows of the last complete manifest; 0 and none before the first commit."""
+    known = _children(spark, f"{root}/_manifests", "_SUCCESS")
+    if not known:
+        return 0, spark.createDataFrame([], _MANIFEST)
+    return int(known[-1]), spark.read.schema(_MANIFEST).parquet(f"{root}/_manifests/{known[-1]}")
+
+
+def commit_repos(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], repos: Sequence[str]) -> int:
+    """Replace the rows of ``repos`` in all ``tables`` (frames with ``repo_name``) at once; returns the commit's number.
+
+    Every table is written to a folder of its own first.  Then one manifest names what counts from now on, so readers see all tables
+    before or after the commit, never between, and a run that fails leaves them where they were.  A repository that has no rows in a table is
+    simply not named.  The sync log can be one of the tables.  Of two commits at the same time the second fails, as its manifest exists, and can be run again.
+    """
+    number, old = _manifest(spark, root)
+    version = f"{number + 1:012d}-{uuid.uuid4().hex[:8]}"
+    rows = old.filter(~F.col("repo_name").isin(list(repos)) | ~F.col("table").isin(list(tables)))
+    for name, df in tables.items():
+        path = f"{root}/{name}/version={version}"
+        mine = df.filter(F.col("repo_name").isin(list(repos)))
+        mine.hint("rebalance", F.col("repo_name")).write.partitionBy("repo_name").parquet(path)
+        written = spark.read.schema(df.schema).parquet(path).select("repo_name").distinct()
+        rows = rows.unionByName(written.select(F.lit(name).alias("table"), "repo_name", F.lit(version).alias("version")))
+    rows.write.parquet(f"{root}/_manifests/{number + 1:012d}")
+    return number + 1
+
+
+def read_committed(spark: SparkSession, root: str, table: str, schema: StructType | str) -> DataFrame:
+    """The rows of a table that the last manifest names; without one, none."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    _, manifest = _manifest(spark, root)
+    if not _children(spark, f"{root}/{table}"):
+        return spark.createDataFrame([], fields)
+    every = spark.read.schema(StructType([*fields.fields, StructField("version", StringType())])).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
+    counting = manifest.filter(F.col("table") == table).select("repo_name", "version")
+    return every.join(counting, ["repo_name", "version"], "left_semi").select(*fields.names)
+
+
+def drop_unused(spark: SparkSession, root: str, tables: Sequence[str]) -> int:
+    """Delete versions that neither the last manifest names nor a later commit may be writing; returns how many."""
+    number, manifest = _manifest(spark, root)
+    named = {(r["table"], r["version"]) for r in manifest.select("table", "version").distinct().collect()}  # one row per table and sync that still counts
+    gone = 0
+    for table in tables:
+        for folder in _children(spark, f"{root}/{table}"):
+            version = folder.removeprefix("version=")
+            if int(version[:12]) <= number and (table, version) not in named:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/{folder}")
+                gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def append_sync_run(meta: DataFrame, path: str) -> None:
     meta.write.mode("append").parquet(path)
 

@@ -55,12 +55,22 @@ def stream_rule_scan(files: DataFrame, rules: Sequence[R] | None = None, keys: S
 
 
 def stream_progress(progress: DataFrame, key: str = "scan_id", order: str = "ts", *columns: str) -> DataFrame:
-    """Latest state per key, for update or complete output."""
+    """Latest state per key, for update or complete output; the row of the largest order value counts whole."""
     return progress.groupBy(key).agg(
         F.max_by(F.struct(*columns), F.struct(order, *columns)).alias("s"), F.max(order).alias(order)).select(
         key, order, "s.*")
 
 
+def stream_progress_fields(progress: DataFrame, key: str = "scan_id", order: str = "ts", *columns: str) -> DataFrame:
+    """State per key merged field by field: an update that leaves a field null keeps its last known value.
+
+    Each field is the value of the largest order value that has one (of equal ones the largest value), so the state does not depend on how
+    updates fall into batches, and late ones only fill what nothing newer has told.
+    """
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in columns]
+    return progress.groupBy(key).agg(F.max(order).alias(order), *last)
+
+
 def finished(states: DataFrame, status: str = "status") -> DataFrame:
     return states.filter(F.col(status).isin("done", "error"))
 
