@@ -41,7 +41,7 @@ WORDS = 5
 PERCENT = 80
 HEAVY, HEAVY_LEAST = 0.0004, 64
 LEADERS = 4
-SEGMENT = 4_000_000
+SEGMENT = 2_000_000
 FIRSTS = 3
 TILE = 512
 WIDE = 16
@@ -389,7 +389,7 @@ def _tiles(meetings: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Sc
                 work(pa.Table.from_batches([*held, batch.slice(0, stop)]).combine_chunks())
                 held = []
             held.append(batch.slice(stop))
-            if sum(len(x) for x, _, _ in found) > 300_000:
+            if sum(len(x) for x, _, _ in found) > 50_000:
                 yield flush()
         if held:
             work(pa.Table.from_batches(held).combine_chunks())
