@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from sparkwarden.session import shared_folder
 
@@ -123,3 +125,19 @@ def lower_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def widened(df: DataFrame, **types: str) -> StructType:
     """The schema of a frame with further columns; the frame's own schema stays as it is."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in types.items())).fields])
+
+
+def in_order(df: DataFrame, key: str, place: str) -> DataFrame:
+    """``df`` and the number of each row in the order of ``key``, from 0.
+
+    Rows are sorted in ranges of the key and numbered there; a range starts after the rows of those before it.  Only the sizes of the
+    ranges, one row each, meet in one task.
+    """
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the row in it in the lower 33
+    ranges = Scratch(df.sparkSession).save(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", at), "ranges")
+    part = F.shiftrightunsigned("__at", 33)
+    sizes = ranges.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranges.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(place, F.col("__start") + inside).drop("__part", "__start", "__at")

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 import corpus_pipeline
 from sparkwarden.llm import bpe, collocations, hard_negatives, jaccard_join, language_id, license_scan, mixing, nearest, pii, quality, secret_scan, url_lists, weighted_sampling
-from sparkwarden.llm.common import table
+from sparkwarden.llm.common import Scratch, in_order, table
 from sparkwarden.llm.vocabulary import vocab_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,8 +49,8 @@ def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, events = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "events")
     captures = pages.join(events.select(F.col("event_id").alias("page_id"), F.col("ts").alias("fetched_at")), "page_id", "left")
     hosts = pages.select(url_lists.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
-    ranked = hosts.select("host", (F.row_number().over(Window.orderBy("host")) - 1).alias("place"))  # one row per host
-    n = hosts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
+    ranked = Scratch(spark).save(in_order(hosts, "host", "place"), "hosts")
+    n = ranked.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n")).scalar()
     kind = F.col("event_type")
     log = events.where(kind.isin("error", "signup", "purchase", "click")).select(
         F.when(kind.isin("error", "signup"), "malware").otherwise("spam").alias("list"), F.when(kind.isin("error", "purchase"), "add").otherwise("remove").alias("action"),

@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from sparkwarden.llm import language_id, mixing, nearest, queries, url_lists, weighted_sampling
+from sparkwarden.llm.common import in_order
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -31,6 +32,40 @@ def test_held_out_accuracy(spark):
     assert not any(r.rejected for r in got) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_long_texts_of_no_known_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = np.random.default_rng(4)
+
+    def invented(letters, words, length):
+        return " ".join("".join(draw.choice(letters, length)) for _ in range(words))
+
+    latin, cyrillic = list("abcdefghijklmnopqrstuvwxyz"), list("абвгдежзийклмнопрстуфхцчшщыэюя")
+    rows = [(-1 - k, invented(letters, words, length), "odd", 0) for k, (letters, words, length) in enumerate(
+        (a, n, m) for a, m in ((latin, 6), (cyrillic, 6), ([chr(c) for c in range(0x4E00, 0x9000)], 40)) for n in (20, 100, 2000, 10000))]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").drop("other")
+    got = language_id.identify(odd, docs).collect()
+    assert len(got) == 12 and all(r.rejected for r in got)
+    clean = language_id.identify(docs.select("doc_id", "text", F.col("lang").alias("told")), docs).where("length(text) >= 300")
+    assert clean.where("rejected").count() == 0 and clean.count() > 500
+
+
+def test_cosine_is_that_of_direct_counts():
+    """The cosine of signed hashed counts differs from that of the n-grams themselves by collisions only."""
+    texts = ["Der Hund und die Katze, der Mond.", "Der Hund und der Mond; die Katze", "zzz qqq"]
+
+    def direct(text):
+        s = " " + re.sub(r"[^a-z]+", " ", text.lower()).strip() + " "
+        return collections.Counter(s[i:i + k] for k in (1, 2, 3) for i in range(len(s) - k + 1))
+
+    v = language_id._weigh(language_id.gram_counts(texts)[0], np.float32(1))
+    bags = [direct(t) for t in texts]
+    norm = lambda b: sum(np.log1p(c) ** 2 for c in b.values()) ** 0.5
+    for i in range(3):
+        for j in range(3):
+            want = sum(np.log1p(bags[i][g]) * np.log1p(bags[j][g]) for g in bags[i]) / norm(bags[i]) / norm(bags[j])
+            assert abs(float(v[i] @ v[j]) - want) < 0.12
+
+
 def test_language_edge_cases(spark):
     df = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "12 %", "s"), (4, "mot", "s"), (4, "mot", "s")], "doc_id long, text string, score string")
     none = language_id.identify(df, df.withColumn("lang", F.lit(None).cast("string"))).collect()
@@ -166,6 +201,13 @@ def test_mix_of_overlapping_sources(spark):
     assert all(r.rounds <= 2 for r in mixing.mix(df, overlapping=True).collect())
 
 
+def test_numbers_in_order(spark):
+    words = sorted({f"{i * 7919 % 1000:03d}" for i in range(500)})
+    got = in_order(spark.createDataFrame([(w,) for w in reversed(words)], "w string").repartition(5), "w", "place").collect()
+    assert sorted((r.place, r.w) for r in got) == list(enumerate(words))
+    assert in_order(spark.createDataFrame([], "w string"), "w", "place").count() == 0
+
+
 def test_url_lists(spark):
     day = lambda d, h=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d, hours=h)
     log = [("m", "x.com", "add", day(0, 5)), ("m", "x.com", "remove", day(0, 9)), ("m", "x.com", "add", day(3)), ("m", "x.com", "add", day(3)), ("m", "x.com", "remove", day(200, 1)),
