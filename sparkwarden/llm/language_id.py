@@ -28,7 +28,7 @@ from sparkwarden.llm.common import Scratch, chunks, widened
 DIMENSIONS = 4096
 CENTROIDS = 4
 SAMPLE = 1500
-ENOUGH = 40
+ENOUGH = 100
 REJECT = 0.4
 ROWS = 128
 UNKNOWN_LANGUAGE = "und"
