@@ -199,6 +199,17 @@ def mask_nested(spark, sf):
     return masking.mask_columns(c, "v").select("conv_id", "turn", F.md5(F.col("v.items")[0]["text"]).alias("masked_md5"))
 
 
+@query("mask_json", f"""
+SELECT doc_id, md5({_mask_sql('text')}) AS masked_md5, 'password: kept' AS key_kept, lang AS rest FROM documents WHERE text IS NOT NULL""")
+def mask_json(spark, sf):
+    """Masking inside JSON text of unknown shape: only values change, at any depth."""
+    d = spread(table(spark, sf, "documents").where("text IS NOT NULL")).select("doc_id", F.to_json(F.struct(
+        F.array(F.struct("text")).alias("items"), F.create_map(F.lit("password: kept"), F.lit(1)).alias("keys"), "lang")).alias("j"))
+    masked = d.select("doc_id", masking.mask_json_text("j").alias("j"))
+    parsed = masked.withColumn("v", F.from_json("j", "items array<struct<text string>>, keys map<string, int>, lang string"))
+    return parsed.select("doc_id", F.md5(F.col("v.items")[0]["text"]).alias("masked_md5"), F.map_keys("v.keys")[0].alias("key_kept"), F.col("v.lang").alias("rest"))
+
+
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
 _FLAT = f"regexp_replace(regexp_replace(text, {quote(_WS + '+')}, ' ', 'g'), '^ | $', '', 'g')"
 _MARK = "chr(10) || chr(10) || '... [TRUNCATED: middle omitted to fit LLM context] ...' || chr(10) || chr(10)"
