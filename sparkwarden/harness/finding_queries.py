@@ -170,20 +170,37 @@ def cwe_candidates(spark, sf):
 _KEYS = "[" + ", ".join(quote(k) for k in fv.CWE_PREFILTER_KEYWORDS) + "]"
 
 
-@query("cwe_prefilter", f"""
+_PREFILTER_SQL = f"""
 WITH d AS (SELECT 'CWE-' || r_regionkey AS cwe_id, lower(r_name) || ' ' || (['sql', 'path', 'auth', 'command', 'plain'])[r_regionkey + 1] AS cwe_name FROM region),
 e AS (SELECT o_orderkey AS evidence_id, lower('order cwe-' || (o_custkey % 7) || ' ' || (['sql', 'path', 'secret', 'none'])[o_orderkey % 4 + 1] || ' ' || o_orderpriority) AS t FROM orders),
 j AS (SELECT evidence_id, cwe_id, cwe_name, (contains(t, lower(cwe_id)) OR len(list_filter({_KEYS}, lambda k: contains(t, k) AND contains(lower(cwe_name), k))) > 0) AS hit FROM e CROSS JOIN d),
-c AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY evidence_id) AS n FROM j)
+c AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY evidence_id) AS n FROM j)"""
+
+
+@query("cwe_prefilter", _PREFILTER_SQL + """
 SELECT DISTINCT e.evidence_id, c.cwe_id, c.cwe_name, coalesce(c.n, 0) < 3 AS whole_dictionary FROM e LEFT JOIN (SELECT * FROM c WHERE hit) c ON c.evidence_id = e.evidence_id""")
 def cwe_prefilter(spark, sf):
+    return findings.prefilter_cwe(*_evidence(spark, sf))
+
+
+def _evidence(spark, sf):
+    """Orders as evidence, regions as dictionary."""
     hint = F.element_at(F.array(*[F.lit(x) for x in ("sql", "path", "auth", "command", "plain")]), F.col("r_regionkey") + 1)
     d = table(spark, sf, "region").select(F.concat(F.lit("CWE-"), F.col("r_regionkey").cast("string")).alias("cwe_id"),
                                           F.concat_ws(" ", F.lower("r_name"), hint).alias("cwe_name"))
     word = F.element_at(F.array(*[F.lit(x) for x in ("sql", "path", "secret", "none")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     e = table(spark, sf, "orders").select(F.col("o_orderkey").alias("evidence_id"), F.concat(
         F.lit("order CWE-"), (F.col("o_custkey") % 7).cast("string"), F.lit(" "), word, F.lit(" "), "o_orderpriority").alias("evidence"))
-    return findings.prefilter_cwe(e, d)
+    return e, d
+
+
+@query("weakness_sets", _PREFILTER_SQL + """
+, k AS (SELECT evidence_id, cwe_id, cwe_name, row_number() OVER (PARTITION BY evidence_id ORDER BY cwe_id) AS rank FROM c WHERE hit OR n < 3)
+SELECT evidence_id, cwe_id, cwe_name, rank::INTEGER AS rank FROM k WHERE rank <= 4""")
+def weakness_sets(spark, sf):
+    """The first four candidates of every evidence, put together from links and sets."""
+    links, sets = findings.weakness_sets(*_evidence(spark, sf), limit=4)
+    return links.join(sets, "set_id").select("evidence_id", "cwe_id", "cwe_name", F.col("rank").cast("int").alias("rank"))
 
 
 # --- synchronisation --------------------------------------------------------------------------

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.harness.graph_queries import ROOT_SQL, root_of
+from sparkwarden.harness.finding_queries import _KEYS as KEYS_SQL
+from sparkwarden.harness.graph_queries import META, NOISE, ROOT_SQL, root_of
 from sparkwarden.harness.registry import query
+from sparkwarden.harness.text_queries import _MARK as MARK_SQL
 from sparkwarden.harness.text_queries import DOC_MATCHES
 from sparkwarden.harness.views import REPO, code_files, code_functions, doc_files, nodes, relations, spread, table, with_views
 from sparkwarden.operators import rules, scoring
@@ -83,6 +85,93 @@ def item_context(spark, sf):
     out = report.item_context(n, relations(spark, sf), root_of(n), depth=1)
     return out.select("root_id", F.col("paths").contains(" -> ").alias("has_paths"), (F.length("prompt") <= 9100).alias("bounded"))
 
+CONTAINERS = "('File', 'Folder')"
+_FENCE = "chr(10) || '```python' || chr(10) || r.name || chr(10) || '```' || chr(10)"
+
+
+def _middle(c: str, limit: int) -> str:
+    return f"CASE WHEN length({c}) <= {limit} THEN {c} ELSE left({c}, {limit // 2}) || {MARK_SQL} || right({c}, {limit - limit // 2}) END"
+
+
+# What item_context gives for the nodes of ``roots``, one level around, with names as contents.
+_CONTEXT_SQL = f"""
+edges AS (SELECT * FROM relations WHERE relation_type NOT IN {META}),
+touching AS (SELECT r.id AS root_id, e.* FROM roots r JOIN edges e ON e.from_id = r.id UNION ALL SELECT r.id, e.* FROM roots r JOIN edges e ON e.to_id = r.id AND e.from_id <> e.to_id),
+near AS (SELECT DISTINCT t.root_id, o.id AS oid FROM touching t JOIN nodes o ON o.id = CASE WHEN t.from_id = t.root_id THEN t.to_id ELSE t.from_id END AND o.id <> t.root_id JOIN roots r ON r.id = t.root_id
+  WHERE o.label NOT IN {NOISE} AND o.file_path = r.file_path AND (r.label IN {CONTAINERS} OR o.label NOT IN {CONTAINERS})),
+members AS (SELECT id AS root_id, 0 AS level, * FROM roots UNION ALL SELECT near.root_id, 1, n.* FROM near JOIN nodes n ON n.id = near.oid),
+sym AS (SELECT root_id, string_agg('- [' || label || '] `' || name || '` (lines ' || start_line || '-' || end_line || ')', chr(10) ORDER BY level, label, name, id) AS t FROM members WHERE label <> 'File' GROUP BY root_id),
+rel AS (SELECT t.root_id, string_agg('- ' || from_id || ' --[' || relation_type || ']--> ' || to_id, chr(10) ORDER BY relation_type, from_id, to_id, step::VARCHAR) AS t FROM touching t
+  JOIN near ON near.root_id = t.root_id AND near.oid = CASE WHEN t.from_id = t.root_id THEN t.to_id ELSE t.from_id END GROUP BY t.root_id),
+texts AS (SELECT r.id AS root_id, r.file_path, '## File: ' || r.file_path || {_FENCE} || coalesce(chr(10) || '## Symbols:' || chr(10) || sym.t, '') || coalesce(chr(10) || chr(10) || '## Relations:' || chr(10) || rel.t, '') AS c
+  FROM roots r LEFT JOIN sym ON sym.root_id = r.id LEFT JOIN rel ON rel.root_id = r.id),
+calls AS (SELECT from_id, to_id FROM relations WHERE relation_type IN ('CALLS', 'DATA_DEPENDS_ON')),
+walks AS (SELECT to_id AS root_id, from_id AS node, 1 AS depth, [to_id, from_id] AS path FROM calls JOIN roots ON id = to_id
+  UNION ALL SELECT root_id, c.from_id, depth + 1, list_append(path, c.from_id) FROM walks JOIN calls c ON c.to_id = walks.node WHERE depth < 10 AND NOT list_contains(path, c.from_id)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY depth DESC, array_to_string(path, chr(1))) AS rank FROM walks) WHERE rank <= 10),
+lines AS (SELECT root_id, string_agg(array_to_string(list_reverse(path), ' -> '), chr(10) ORDER BY rank) AS paths FROM best GROUP BY root_id),
+bodies AS (SELECT root_id, string_agg(chr(10) || '--- Node: ' || id || ' ---' || chr(10) || name || chr(10), '' ORDER BY id) AS bodies
+  FROM (SELECT DISTINCT root_id, unnest(path) AS node FROM best) JOIN nodes ON nodes.id = node GROUP BY root_id),
+full_ AS (SELECT t.root_id, coalesce(paths, 'No algorithmic path found.') AS paths, '[Repository: {REPO} | Target File: ' || file_path || ']' || chr(10) || '[CALL PATHS (SOURCE -> SINK)]' || chr(10) || coalesce(paths, 'No algorithmic path found.')
+  || chr(10) || chr(10) || '[NODES ALONG THE PATHS]' || chr(10) || coalesce(bodies, '') || chr(10) || chr(10) || chr(10) || '[GRAPH CONTEXT]' || chr(10) || ({_middle('t.c', 22_000)}) AS p
+  FROM texts t LEFT JOIN lines ON lines.root_id = t.root_id LEFT JOIN bodies ON bodies.root_id = t.root_id)"""
+
+
+@query("item_context_all", with_views(f"""
+, roots AS (SELECT * FROM nodes WHERE label = 'Class'),{_CONTEXT_SQL}
+SELECT root_id, sha256(paths) AS paths_sha256, sha256({_middle('p', 9_000)}) AS prompt_sha256, length(p) > 9000 AS cut FROM full_""", "nodes", "relations", recursive=True))
+def item_context_all(spark, sf):
+    """The whole prompt input of every class: context, ten deepest call paths and the contents of their nodes."""
+    n = nodes(spark, sf).withColumn("content", F.col("name"))
+    roots = n.filter(F.col("label") == "Class").select("repo_name", F.col("id").alias("root_id"))
+    out = report.item_context(n, relations(spark, sf), roots, depth=1)
+    return out.select("root_id", F.sha2("paths", 256).alias("paths_sha256"), F.sha2("prompt", 256).alias("prompt_sha256"), (F.length("prompt") > 9000).alias("cut"))
+
+
+_ANALYSIS_ITEMS = """
+named AS (SELECT file_path, end_line AS k FROM nodes WHERE label = 'File'
+  UNION ALL SELECT 'docs/n' || n_nationkey || '.md', n_nationkey::BIGINT FROM nation UNION ALL SELECT 'gone/r' || r_regionkey || '.py', 1::BIGINT + 4 * r_regionkey FROM region),
+item AS (SELECT file_path, k, CASE WHEN k % 4 = 0 THEN 'info' ELSE 'critical' END AS severity, 'cwe-' || (k % 5) || ' ' || (['sql path', 'command', 'secret', 'none'])[k % 4 + 1] AS note, 'm' || k AS matched,
+  '{"file_path":"' || file_path || '","findings":[{"line":' || k || ',"rules":[{"rule_id":"R' || k || '","severity":"critical"}]}],"note":"' || note || '; password=***MASKED***","matched_text":"' || matched || '"}' AS evidence FROM named),
+d AS (SELECT 'CWE-' || r_regionkey AS cwe_id, lower(r_name) || ' ' || (['sql', 'path', 'auth', 'command', 'sql path'])[r_regionkey + 1] AS cwe_name FROM region)"""
+
+
+@query("prepare_analysis", with_views(f"""
+, {_ANALYSIS_ITEMS},
+roots AS (SELECT nodes.* FROM nodes JOIN item ON item.file_path = nodes.file_path WHERE label = 'File' AND severity = 'critical'),{_CONTEXT_SQL},
+cand AS (SELECT file_path, cwe_id, cwe_name, (contains(lower(evidence), lower(cwe_id)) OR len(list_filter({KEYS_SQL}, lambda w: contains(lower(evidence), w) AND contains(cwe_name, w))) > 0) AS hit FROM item CROSS JOIN d),
+counted AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY file_path) AS n FROM cand),
+weak AS (SELECT file_path, '[' || string_agg('{{"cwe_id":"' || cwe_id || '","cwe_name":"' || cwe_name || '"}}', ',' ORDER BY cwe_id) || ']' AS weaknesses FROM counted WHERE hit OR n < 3 GROUP BY file_path),
+job AS (SELECT item.*, 'File:' || item.file_path AS node_id, weaknesses, p
+  FROM item JOIN weak ON weak.file_path = item.file_path LEFT JOIN full_ ON root_id = 'File:' || item.file_path WHERE severity = 'critical' AND item.file_path NOT LIKE 'docs/%')
+SELECT node_id, 'pending' AS outcome, sha256({_middle('p', 9_000)} || chr(10) || evidence || chr(10) || weaknesses) AS detail FROM job WHERE p IS NOT NULL AND k % 3 <> 0
+UNION ALL SELECT node_id, 'reused', 'CWE-' || k FROM job WHERE p IS NOT NULL AND k % 3 = 0
+UNION ALL SELECT node_id, 'failed', 'ERROR' FROM job WHERE p IS NULL
+UNION ALL SELECT 'File:' || file_path, CASE WHEN file_path LIKE 'docs/%' THEN 'skipped_path' ELSE 'skipped_low' END, 'SKIPPED' FROM item WHERE file_path LIKE 'docs/%' OR severity = 'info'""", "nodes", "relations", recursive=True))
+def prepare_analysis(spark, sf):
+    """Every file's first item on its way to the model: routed, with evidence, weaknesses and context, or with a known result."""
+    n = nodes(spark, sf).withColumn("content", F.col("name"))
+    named = n.filter(F.col("label") == "File").select("file_path", F.col("end_line").alias("k")).unionByName(
+        table(spark, sf, "nation").select(F.concat(F.lit("docs/n"), F.col("n_nationkey").cast("string"), F.lit(".md")).alias("file_path"), F.col("n_nationkey").cast("long").alias("k"))).unionByName(
+        table(spark, sf, "region").select(F.concat(F.lit("gone/r"), F.col("r_regionkey").cast("string"), F.lit(".py")).alias("file_path"), (F.col("r_regionkey") * 4 + 1).cast("long").alias("k")))
+    pick = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i + 1).cast("int"))
+    k = F.col("k")
+    rule = F.struct(F.concat(F.lit("R"), k.cast("string")).alias("rule_id"), F.when(k % 4 == 0, "info").otherwise("critical").alias("severity"))
+    note = F.concat(F.lit("cwe-"), (k % 5).cast("string"), F.lit(" "), pick(("sql path", "command", "secret", "none"), k % 4))
+    first = named.select("file_path", F.array(F.struct(k.alias("line"), F.array(rule).alias("rules"))).alias("findings"), F.lit(1).alias("layer"), k.alias("seq"),
+                         F.concat(note, F.lit("; password: hunter2")).alias("note"), F.concat(F.lit("m"), k.cast("string")).alias("matched_text"))
+    again = named.select("file_path", F.struct(F.lit(True).alias("ok")).alias("result"), F.lit(2).alias("layer"), k.alias("seq"))
+    items = first.unionByName(again, allowMissingColumns=True)
+    d = table(spark, sf, "region").select(F.concat(F.lit("CWE-"), F.col("r_regionkey").cast("string")).alias("cwe_id"), F.concat_ws(
+        " ", F.lower("r_name"), pick(("sql", "path", "auth", "command", "sql path"), F.col("r_regionkey"))).alias("cwe_name"))
+    known = named.filter(k % 3 == 0).select("file_path", F.concat(F.lit("m"), k.cast("string")).alias("m"), F.lit("").alias("e"), F.lit("No algorithmic path found.").alias("p"), "k")
+    cache = known.select(sinks.cache_key("file_path", "m", "e", "e", "p").alias("cache_key"), F.concat(F.lit("CWE-"), k.cast("string")).alias("selected_cwe_id"),
+                         F.lit("known").alias("selected_cwe_name"), F.lit("High").alias("severity"))
+    out = report.prepare_analysis(items, n, relations(spark, sf), d, cache, REPO)
+    text = F.sha2(F.concat_ws("\n", "prompt", "evidence", "weaknesses"), 256)
+    return out.pending.select("node_id", F.lit("pending").alias("outcome"), text.alias("detail")).unionByName(
+        out.results.select("node_id", "outcome", F.col("selected_cwe_id").alias("detail")))
+
 
 @query("prompt_table", "SELECT doc_id::VARCHAR AS root_node_id, length(text) AS n FROM documents")
 def prompt_table(spark, sf):

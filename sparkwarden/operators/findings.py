@@ -289,15 +289,54 @@ def prefilter_cwe(evidence: DataFrame, dictionary: DataFrame, key: str = "eviden
     Both sides meet by equality: an id that the text contains is a prefix of an id written there, and a hint is one of a dozen fixed
     words.  The dictionary may have any size.  Ids have the form CWE-digits.
     """
-    low = F.lower(F.col(text))
+    asked = evidence.select(key, F.explode(_signs_in(F.col(text))).alias("sign"))
+    hits = asked.join(_dictionary_signs(dictionary), "sign").select(key, "cwe_id", "cwe_name").distinct()
+    counted = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    flagged = evidence.select(key).distinct().join(counted, key, "left").select(key, (F.coalesce("n", F.lit(0)) < 3).alias("whole_dictionary"))
+    return flagged.join(hits, key, "left").select(key, "cwe_id", "cwe_name", "whole_dictionary")
+
+
+def _signs_in(text: Column) -> Column:
+    """What of a text can name a weakness, distinct and sorted: hint words, and ids that a written id begins with."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     hinted = F.filter(words(fv.CWE_PREFILTER_KEYWORDS), lambda k: low.contains(k))
     written = F.array_distinct(F.regexp_extract_all(low, F.lit(r"cwe-[0-9]+"), F.lit(0)))
     contained = F.flatten(F.transform(written, lambda w: F.transform(F.sequence(F.lit(5), F.length(w)), lambda n: F.left(w, n))))
-    asked = evidence.select(key, F.explode(F.array_distinct(F.concat(contained, hinted))).alias("sign"))
+    return F.array_sort(F.array_distinct(F.concat(contained, hinted)))
+
+
+def _listed(dictionary: DataFrame) -> DataFrame:
+    """The dictionary's weaknesses, each id once (its smallest name, named ones first)."""
+    rows = dictionary.select(F.trim(F.upper("cwe_id")).alias("cwe_id"), "cwe_name").filter(F.col("cwe_id") != "")
+    return rows.groupBy("cwe_id").agg(F.min("cwe_name").alias("cwe_name"))
+
+
+def _dictionary_signs(dictionary: DataFrame) -> DataFrame:
     name = F.lower(F.coalesce("cwe_name", F.lit("")))
-    listed = dictionary.select(F.trim(F.upper("cwe_id")).alias("cwe_id"), "cwe_name").filter(F.col("cwe_id") != "").dropDuplicates(["cwe_id"])
-    signs = listed.select("cwe_id", "cwe_name", F.explode(F.concat(F.array(F.lower("cwe_id")), F.filter(words(fv.CWE_PREFILTER_KEYWORDS), lambda k: name.contains(k)))).alias("sign"))
-    hits = asked.join(signs, "sign").select(key, "cwe_id", "cwe_name").distinct()
-    counted = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    flagged = evidence.select(key).distinct().join(counted, key, "left").select(key, (F.coalesce("n", F.lit(0)) < 3).alias("whole_dictionary"))
-    return flagged.join(hits, key, "left").select(key, "cwe_id", "cwe_name", "whole_dictionary")
+    return _listed(dictionary).select("cwe_id", "cwe_name", F.explode(F.concat(
+        F.array(F.lower("cwe_id")), F.filter(words(fv.CWE_PREFILTER_KEYWORDS), lambda k: name.contains(k)))).alias("sign"))
+
+
+#: The set of evidence for which fewer than three weaknesses qualify: the whole dictionary.
+WHOLE_DICTIONARY = "all"
+
+
+def weakness_sets(evidence: DataFrame, dictionary: DataFrame, key: str = "evidence_id", text: str = "evidence",
+                  limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The candidates of ``prefilter_cwe`` with every set stored once: (key, set_id) and (set_id, rank, cwe_id, cwe_name).
+
+    Evidence of the same signs has the same set, so the rows grow with the evidence plus the distinct sets, not with their product.
+    Evidence with fewer than three weaknesses points to the set ``all``, which holds the dictionary, once.  A set is ordered by the
+    number of its ids; ``limit`` keeps its first ones (12 in the reference's fast mode).  Null text has no signs.
+    """
+    signed = evidence.select(key, _signs_in(F.col(text)).alias("signs")).withColumn("set_id", F.md5(F.concat_ws("|", "signs")))
+    combinations = signed.groupBy("set_id").agg(F.first("signs").alias("signs"))
+    hits = combinations.select("set_id", F.explode("signs").alias("sign")).join(_dictionary_signs(dictionary), "sign").select(
+        "set_id", "cwe_id", "cwe_name").distinct()
+    enough = hits.groupBy("set_id").agg(F.count("*").alias("n")).filter("n >= 3").select("set_id", F.lit(True).alias("enough"))
+    links = signed.join(enough, "set_id", "left").select(key, F.when(F.col("enough"), F.col("set_id")).otherwise(F.lit(WHOLE_DICTIONARY)).alias("set_id"))
+    sets = hits.join(enough, "set_id", "left_semi").unionByName(
+        _listed(dictionary).select(F.lit(WHOLE_DICTIONARY).alias("set_id"), "cwe_id", "cwe_name"))
+    order = Window.partitionBy("set_id").orderBy(F.length("cwe_id"), "cwe_id")
+    ranked = sets.withColumn("rank", F.row_number().over(order))
+    return links, (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select("set_id", "rank", "cwe_id", "cwe_name")

@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions import fixed_values as fv
+from sparkwarden.functions import masking
 from sparkwarden.functions import paths as px
 from sparkwarden.functions import text as tx
 from sparkwarden.operators import code, evaluation, findings, graph, impact, retrieval, rules, scan, scoring
 from sparkwarden.session import reliable_checkpoint
+from sparkwarden.sources import sinks
+
+
+class Analysis(NamedTuple):
+    """``pending`` are jobs with their prompt input, ``results`` one row per node that needs no model: reused, skipped, failed."""
+
+    pending: DataFrame
+    results: DataFrame
 
 
 class Report(NamedTuple):
@@ -151,3 +160,49 @@ def item_context(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: in
     full = F.concat(facts, F.lit("\n\n[GRAPH CONTEXT]\n"), F.col("context"))
     return joined.select("repo_name", "root_id", "paths", "context",
                          (full if fast_chars is None else tx.truncate_middle(full, fast_chars)).alias("prompt"))
+
+
+_CACHED = ("selected_cwe_id", "selected_cwe_name", "severity")
+
+
+def prepare_analysis(items: DataFrame, nodes: DataFrame, edges: DataFrame, dictionary: DataFrame, cache: DataFrame, repo: str, depth: int = 1,
+                     max_chars: int = 22_000, context_chars: int | None = 9_000, max_weaknesses: int | None = 12) -> Analysis:
+    """Scan items made ready for the model: one item of each node, its masked evidence, weaknesses, context and paths; known results are reused.
+
+    ``items`` has file_path, findings, result, layer, seq and any further evidence; matched_text, line_content and rules, where there, are part
+    of the key under which ``cache`` (cache_key, selected_cwe_id, selected_cwe_name, severity) holds results.
+
+    The routed items, the walk around their nodes and the paths are each written once; all branches read them.  A layer-2 item takes the rule
+    findings of its file along.  Evidence points to its weaknesses by ``set_id``; only distinct sets are built.  A job whose node is not in the
+    graph gives an ERROR row, so every node of the items comes back exactly once (items without a node, each by itself).
+    """
+    rules_of = items.filter(F.col("findings").isNotNull()).groupBy(px.bare_path("file_path").alias("bare")).agg(
+        F.max_by("findings", F.struct("layer", "seq")).alias("layer1_findings"))
+    routed = findings.route_findings(findings.dedup_by_node(items)).withColumn("bare", px.bare_path("node_id"))
+    own = F.col("findings").isNull() & F.col("result").isNotNull()
+    routed = reliable_checkpoint(routed.join(rules_of, "bare", "left").withColumn("layer1_findings", F.when(own, F.col("layer1_findings"))))
+    skipped = findings.skipped_rows(routed)
+
+    told = [c for c in routed.columns if c not in ("bare", "node_id", "layer", "seq", "route")]
+    jobs = masking.mask_columns(routed.filter(F.col("route") == "job"), *told).withColumn("evidence", F.to_json(F.struct(*told)))
+    links, sets = findings.weakness_sets(jobs, dictionary, "node_id", "evidence", max_weaknesses)
+    shown = sets.groupBy("set_id").agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "cwe_id", "cwe_name"))), lambda x: F.struct(x["cwe_id"].alias("cwe_id"), x["cwe_name"].alias("cwe_name")))).alias("weaknesses"))
+    roots = jobs.select(F.lit(repo).alias("repo_name"), F.col("node_id").alias("root_id"))
+    around = item_context(nodes, edges, roots, depth, max_chars, context_chars).withColumnRenamed("root_id", "node_id")
+    part = lambda c: c if c in told else "nothing"
+    ready = (
+        jobs.join(links, "node_id").join(shown, "set_id", "left").join(around.select("node_id", "paths", "prompt"), "node_id", "left")
+        .withColumn("file_path", F.col("bare")).withColumn("nothing", F.lit(""))
+        .withColumn("cache_key", sinks.cache_key("file_path", part("matched_text"), part("line_content"), part("rules"), "paths")))
+    ready = reliable_checkpoint(ready.select("node_id", "file_path", "evidence", F.coalesce("weaknesses", F.lit("[]")).alias("weaknesses"), "set_id", "paths", "prompt", "cache_key"))
+
+    known = ready.filter(F.col("prompt").isNotNull())
+    reused, pending = sinks.split_cached(known, cache.select("cache_key", *_CACHED).dropDuplicates(["cache_key"]))
+    lost = findings.failed_rows(ready.filter(F.col("prompt").isNull()).select(
+        "node_id", F.lit("ERROR").alias("kind"), F.lit("The node is not in the graph.").alias("message")))
+    columns = ["node_id", "file_path", *_CACHED, "outcome"]
+    results = reused.withColumn("outcome", F.lit("reused")).select(*columns).unionByName(
+        skipped.withColumn("outcome", F.col("route")).select(*columns)).unionByName(
+        lost.withColumn("outcome", F.lit("failed")).select(*columns))
+    return Analysis(pending, results)
