@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from sparkwarden.harness.views import REPO, code_files, code_functions, doc_file
 from sparkwarden.operators import rules, scoring
 from sparkwarden.plans import report
 from sparkwarden.session import shared_folder
-from sparkwarden.sources import sinks
+from sparkwarden.sources import graph_json, sinks
 from sparkwarden.streaming import jobs
 
 
@@ -173,6 +174,34 @@ def prepare_analysis(spark, sf):
         out.results.select("node_id", "outcome", F.col("selected_cwe_id").alias("detail")))
 
 
+def _as_document(field: str):
+    """Lines of JSON objects to one document a partition, a row at a time."""
+    def write(batches):
+        mark = '{"' + field + '":['
+        for batch in batches:
+            batch["value"] = [mark + batch["value"].iloc[0], *("," + v for v in batch["value"].iloc[1:])] if len(batch) else []
+            mark = "," if len(batch) else mark
+            yield batch
+        yield pd.DataFrame({"value": ["]}" if mark == "," else mark + "]}"]})
+
+    return write
+
+
+@query("large_graph_dump", with_views("""
+SELECT 'node' AS kind, id AS a, label AS b, name || '{"' || coalesce(start_line, -1) AS c FROM nodes UNION ALL SELECT 'relation', from_id, relation_type, to_id || step FROM relations""", "nodes", "relations"))
+def large_graph_dump(spark, sf):
+    """The graph written as JSON documents and read again by splits; names hold braces and quotes."""
+    n, path = nodes(spark, sf), _scratch(spark, "dump")
+    node = F.struct("id", "label", F.create_map(F.lit("name"), F.concat("name", F.lit('{"')), F.lit("startLine"), F.col("start_line").cast("string")).alias("properties"))
+    edge = F.struct(F.col("from_id").alias("sourceId"), F.col("to_id").alias("targetId"), F.col("relation_type").alias("type"), "confidence", "step")
+    n.select(F.to_json(node).alias("value")).mapInPandas(_as_document("nodes"), "value string").write.option("lineSep", " ").text(f"{path}/nodes")
+    relations(spark, sf).select(F.to_json(edge).alias("value")).mapInPandas(_as_document("relationships"), "value string").write.text(f"{path}/relations")
+    g = graph_json.read_large_graph_json(spark, f"{path}/*", REPO)
+    return g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.concat(
+        "name", F.coalesce("start_line", F.lit(-1)).cast("string")).alias("c")).unionByName(g.relations.select(
+            F.lit("relation").alias("kind"), F.col("from_id").alias("a"), F.col("relation_type").alias("b"), F.concat("to_id", F.col("step").cast("string")).alias("c")))
+
+
 @query("prompt_table", "SELECT doc_id::VARCHAR AS root_node_id, length(text) AS n FROM documents")
 def prompt_table(spark, sf):
     d = table(spark, sf, "documents")

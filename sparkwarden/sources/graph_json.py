@@ -6,6 +6,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sparkwarden.session import reliable_checkpoint
+from sparkwarden.sources.json_elements import json_elements
 
 NODE_PROPERTIES = (
     "name:string,filePath:string,content:string,description:string,startLine:bigint,endLine:bigint,"
@@ -33,6 +37,20 @@ def read_graph_json(spark: SparkSession, path: str, repo_name: str) -> Graph:
     return normalise(nodes, relations, repo_name)
 
 
+def read_large_graph_json(spark: SparkSession, path: str, repo_name: str) -> Graph:
+    """As ``read_graph_json``, for dumps of any size: a document is read in as many tasks as it has splits, and its elements are written once.
+
+    Elements that are no objects, or are cut off, are not seen.
+    """
+    elements = reliable_checkpoint(json_elements(spark, path).filter(F.col("field").isin("nodes", "relationships")))
+    fields = {x.name: x.dataType.elementType for x in StructType.fromDDL(GRAPH_SCHEMA).fields}
+
+    def part(name: str) -> DataFrame:
+        return elements.filter(F.col("field") == name).select(F.from_json("element", fields[name]).alias("x")).select("x.*")
+
+    return normalise(part("nodes"), part("relationships"), repo_name)
+
+
 def normalise(nodes: DataFrame, relations: DataFrame, repo_name: str) -> Graph:
     """Typed records.  Nodes without an id fall back to label:name, and are rejected when they have
     neither, or when a property does not fit its type; relations without both ends or a type are rejected.  Nothing is raised."""
