@@ -63,3 +63,12 @@ def test_innermost_against_all_pairs(spark):
 def test_innermost_does_not_pair_points_and_spans(spark):
     points, spans = [(i, "r", "f", i % 20) for i in range(1000)], [(f"n{i}", "r", "f", i % 15, i % 15 + 8) for i in range(1000)]
     assert most_rows(evaluation.innermost(*_points_and_spans(spark, points, spans))) <= 8000
+
+
+def test_tool_matches_meet_a_line_once(spark):
+    candidates = spark.createDataFrame([(i, "r", "f", i % 5) for i in range(1000)], "candidate_id int, repo string, file_path string, line int")
+    found = spark.createDataFrame([(i, "r", "f", i % 11) for i in range(200)], "finding_id int, repo string, file_path string, line int")
+    df = evaluation.match_tool_findings(candidates, found)
+    near = {line: sorted(i for i in range(200) if abs(i % 11 - line) <= 5) for line in range(5)}
+    assert rows(df, "candidate_id", "matched_count", "first_matches") == sorted(((i, len(near[i % 5]), near[i % 5][:5]) for i in range(1000)), key=repr)
+    assert most_rows(df) <= 2000
