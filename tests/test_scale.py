@@ -8,13 +8,13 @@ from conftest import rows
 
 import __spark_entry__ as entry
 import check
-from sparkwarden.operators import evaluation
+from sparkwarden.operators import evaluation, retrieval
 
 SF = "/root/testdata/sf0.001"
 
 
-def most_rows(df):
-    """The most rows that any operator of the finished plan gave out."""
+def most_rows(df, metric="numOutputRows"):
+    """The most rows (or another metric) that any operator of the finished plan gave out."""
     df.collect()
 
     def largest(plan):
@@ -23,7 +23,7 @@ def most_rows(df):
             return largest(plan.executedPlan())
         if kind.endswith("QueryStageExec"):
             return largest(plan.plan())
-        given = plan.metrics().get("numOutputRows")
+        given = plan.metrics().get(metric)
         below = plan.children()
         return max([given.get().value() if given.isDefined() else 0, *[largest(below.apply(i)) for i in range(below.size())]])
 
@@ -72,3 +72,18 @@ def test_tool_matches_meet_a_line_once(spark):
     near = {line: sorted(i for i in range(200) if abs(i % 11 - line) <= 5) for line in range(5)}
     assert rows(df, "candidate_id", "matched_count", "first_matches") == sorted(((i, len(near[i % 5]), near[i % 5][:5]) for i in range(1000)), key=repr)
     assert most_rows(df) <= 2000
+
+
+def test_word_lists_hold_no_word_sets(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(220)]
+    functions = spark.createDataFrame([(f"n{i:03d}", "r", "f", "g", " ".join(rng.sample(words, 200))) for i in range(40)],
+                                      "node_id string, repo string, file_path string, name string, content string")
+    candidates = spark.createDataFrame([(i, "r", None, " ".join(rng.sample(words, 30)), "", "", "") for i in range(5)],
+                                       "candidate_id int, repo string, function_id string, rule_name string, category string, matched_text string, file_path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval.text_context(candidates, functions, list_length=4)
+        assert most_rows(found, "dataSize") < 5_000_000 and found.count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
