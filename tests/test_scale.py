@@ -8,7 +8,7 @@ from conftest import rows
 
 import __spark_entry__ as entry
 import check
-from sparkwarden.operators import evaluation, retrieval
+from sparkwarden.operators import evaluation, graph, retrieval
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,18 @@ def test_word_lists_hold_no_word_sets(spark):
         assert most_rows(found, "dataSize") < 5_000_000 and found.count() == 40
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_ids_do_not_shuffle_the_edges(spark):
+    ids = [f"concat('n', {c}) AS {n}" for c, n in (("id", "from_id"), ("id + 1", "to_id"))]
+    edges = spark.range(20_000).selectExpr("'r' AS repo_name", *ids, "'CALLS' AS relation_type", "-1 AS step")
+    nodes = spark.range(20_000).selectExpr("'r' AS repo_name", "concat('n', id) AS id", "'Function' AS label", "concat('name', id) AS name", "'f' AS file_path")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        few = nodes.filter("name IN ('name3', 'name9')")
+        touching = graph.edges_touching(edges, few)
+        assert most_rows(touching, "shuffleRecordsWritten") < 100 and touching.count() == 4
+        around = graph.neighbourhood(nodes, edges, few.selectExpr("repo_name", "id AS root_id"), 2, same_file=False)
+        assert most_rows(around.edges, "shuffleRecordsWritten") < 100 and around.edges.count() == 8 and around.nodes.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
