@@ -6,6 +6,7 @@ import random
 import pytest
 
 from conftest import rows
+from test_scale import most_rows
 from sparkwarden.sources import graph_json
 from sparkwarden.sources.json_elements import json_elements
 
@@ -78,3 +79,19 @@ def test_large_dump_is_read_in_many_tasks(tiny_splits, tmp_path):
     assert rows(many.nodes) == rows(one.nodes) and one.nodes.count() == 48
     assert rows(many.relations) == rows(one.relations)
     assert rows(many.rejected) == rows(one.rejected) and one.rejected.count() == 13
+
+
+def test_text_of_single_pieces_is_not_shuffled(spark, tmp_path):
+    """Batches of three pieces; only elements of several pieces meet."""
+    dump = {"nodes": [{"id": f"n{i}", "properties": {"name": "}" * (i % 3)}} for i in range(50)], "relationships": [{"sourceId": f"n{i}"} for i in range(3000)]}
+    (tmp_path / "g.json").write_text(json.dumps(dump))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = json_elements(spark, str(tmp_path / "g.json"))
+        assert most_rows(found, "shuffleRecordsWritten") < 300
+        got = [(r.field, json.loads(r.element)) for r in found.orderBy("place").collect()]
+        assert got == [(f, x) for f in dump for x in dump[f]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
