@@ -102,3 +102,12 @@ def test_few_ids_do_not_shuffle_the_edges(spark):
         assert most_rows(around.edges, "shuffleRecordsWritten") < 100 and around.edges.count() == 8 and around.nodes.count() == 10
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_paths_into_one_node_leave_other_calls_alone(spark, monkeypatch):
+    written, write = [], graph.reliable_checkpoint
+    monkeypatch.setattr(graph, "reliable_checkpoint", lambda df: written.append(write(df)) or written[-1])
+    edges = spark.range(5_000).selectExpr("'r' AS repo_name", "concat('n', id) AS from_id", "concat('n', id - id % 50) AS to_id", "'CALLS' AS relation_type")
+    target = spark.createDataFrame([("r", "n100")], "repo_name string, target_id string")
+    assert graph.call_paths(edges.filter("from_id <> to_id"), target).count() == 10
+    assert sum(df.count() for df in written) < 250
