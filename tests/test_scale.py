@@ -8,6 +8,7 @@ from conftest import rows
 
 import __spark_entry__ as entry
 import check
+from sparkwarden.harness import views
 from sparkwarden.operators import evaluation, graph, retrieval
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +112,12 @@ def test_paths_into_one_node_leave_other_calls_alone(spark, monkeypatch):
     target = spark.createDataFrame([("r", "n100")], "repo_name string, target_id string")
     assert graph.call_paths(edges.filter("from_id <> to_id"), target).count() == 10
     assert sum(df.count() for df in written) < 250
+
+
+def test_relations_are_joined_by_keys(spark):
+    """Ids are made after the joins; the largest exchange holds the lines' own columns."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert most_rows(views.derive_relations(spark, "/root/testdata/sf0.01"), "dataSize") < 3_600_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
