@@ -121,3 +121,12 @@ def test_relations_are_joined_by_keys(spark):
         assert most_rows(views.derive_relations(spark, "/root/testdata/sf0.01"), "dataSize") < 3_600_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_repeated_links_are_cut_before_they_meet(spark):
+    """A hub of 2,000 links, ten times each: its first 2 * max_nodes leave a task."""
+    links = spark.range(20_000).selectExpr("'r' AS repo", "'hub' AS src", "concat('n', lpad(id % 2000, 4, '0')) AS dst")
+    starts = spark.createDataFrame([(1, "r", "hub")], "candidate_id int, repo string, function_id string")
+    found = retrieval.bfs_context(links, starts, 2, 4)
+    assert rows(found, "position", "node_id") == [(0, "hub"), (1, "n0000"), (2, "n0001"), (3, "n0002")]
+    assert most_rows(found, "shuffleRecordsWritten") < 1000
