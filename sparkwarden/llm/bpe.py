@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkwarden.llm.common import chunks, ranges, span_hashes, widened
+from sparkwarden.llm.common import LIGHT_CHARS, chunks, ranges, span_hashes, widened
 
 CACHE_WORDS = 100_000
 SEAMS = 200_000
@@ -343,7 +343,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids")
     def run(batches):
         with lent_vocabulary(vocab_path) as v:
             for whole in batches:
-                for batch in chunks(whole, text):
+                for batch in chunks(whole, text, LIGHT_CHARS):
                     got, bounds = v.encode(batch.column(text).to_pylist())
                     lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields), lists], [*fields, ids])
@@ -379,7 +379,7 @@ def digests(df: DataFrame, vocab_path: str, keep: list[str], text: str = "text",
     def run(batches):
         with lent_vocabulary(vocab_path) as v:
             for whole in batches:
-                for batch in chunks(whole, "__text"):
+                for batch in chunks(whole, "__text", LIGHT_CHARS):
                     got, bounds = v.encode(batch.column("__text").to_pylist())
                     data, at = memoryview(np.ascontiguousarray(got, "<u4")).cast("B"), (4 * bounds).tolist()
                     ids = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)] if len(got) else [hashlib.sha256().hexdigest()] * len(batch)

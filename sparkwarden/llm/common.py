@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from sparkwarden.session import shared_folder
 
 CHUNK_CHARS = 1_000_000
+LIGHT_CHARS = 100_000  # for steps whose workers stand beside a full executor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +89,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, CHUNK_CHARS)
+        size = max(n, 2 * len(_POWERS[0]))
         for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwarden.llm.common import Scratch, chunks, lower_words, mix64
+from sparkwarden.llm.common import LIGHT_CHARS, Scratch, chunks, lower_words, mix64
 from sparkwarden.llm.components import components
 
 WORDS = 5
@@ -139,7 +139,7 @@ def describe_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     def run(batches):
         often = heavy.value
         for whole in batches:
-            for batch in chunks(whole, "__text"):
+            for batch in chunks(whole, "__text", LIGHT_CHARS):
                 cols: dict[str, list] = {k: [] for k in ("n", "f1", "f2", "bitmap", "mins", "rare", "common")}
                 for s in shingle_sets(batch.column("__text").to_pylist(), words):
                     u = s.view(np.uint64)
@@ -182,7 +182,7 @@ def _wide_maps(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(id, f1, f2, bitmap) of the ids' texts, with bitmaps ``WIDE`` times as wide."""
     def run(batches):
         for whole in batches:
-            for batch in chunks(whole, "__text"):
+            for batch in chunks(whole, "__text", LIGHT_CHARS):
                 sets = shingle_sets(batch.column("__text").to_pylist(), words)
                 marks = [_marks(x) for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
@@ -198,7 +198,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int, p
 
     def arrays(batches):
         for whole in batches:
-            for batch in chunks(whole, "__text"):
+            for batch in chunks(whole, "__text", LIGHT_CHARS):
                 sets = shingle_sets(batch.column("__text").to_pylist(), words)
                 yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +67,20 @@ def test_frames(spark, library):
         ids = library.encode(EDGE[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     assert bpe.encode(df.limit(0), vocab_path()).count() == 0
+
+
+def test_a_worker_holds_little_beside_its_vocabulary(spark, monkeypatch):
+    """A batch of four million characters is encoded in pieces; a worker stands beside an executor that is nearly full."""
+    df = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    run = bpe.digests(df, vocab_path(), ["doc_id"], with_ids=True)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "__text": [" ".join(rng.choices(words, k=570)) for _ in range(1000)]})
+    bpe.vocabulary(vocab_path())
+    tracemalloc.start()
+    try:
+        assert sum(len(out) for out in run(iter([batch]))) == 1000
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
