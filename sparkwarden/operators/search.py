@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.functions import fixed_values as fv
 from sparkwarden.functions import vectors as vx
+from sparkwarden.functions.text import bind
 
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 
@@ -148,20 +149,20 @@ def fulltext_topk_batch(records: DataFrame, queries: DataFrame, limit: int = 50,
     """Many queries at once through a word join; scores are rounded to ``digits`` before ranking,
     so that the order of additions does not decide ties.
 
-    Records contribute one weighted row per distinct word, so the join side is pre-aggregated in
-    place, and the score sums combine before the shuffle.
+    A record counts its own words where it lies, by runs of its sorted words, and gives one weighted row per distinct word.  Those
+    that queries ask for become (query, record) rows at once, so a task never holds a table of the words of its records.
     """
     def weighted(column: str, weight: float) -> Column:
-        return F.transform(terms(column), lambda t: F.struct(t.alias("word"), F.lit(weight).alias("w")))
+        def runs(s: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+            return bind(first, lambda f: F.transform(f, lambda i, k: F.struct(
+                F.get(s, i).alias("word"), ((F.coalesce(F.get(f, k + 1), F.size(s)) - i) * F.lit(weight)).alias("w"))))
+
+        none = F.array().cast("array<struct<word:string,w:double>>")
+        return bind(F.array_sort(terms(column)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
 
     asked = queries.select(query_key, F.explode(F.array_distinct(terms(query_text))).alias("word"))
-    vocabulary = asked.select("word").distinct()
-    words = (
-        records.select(key, F.explode(F.concat(weighted(title, TITLE_WEIGHT), weighted(body, BODY_WEIGHT))).alias("x"))
-        .select(key, "x.word", "x.w")
-        .join(vocabulary, "word", "left_semi")
-        .groupBy(key, "word").agg(F.sum("w").alias("w"))
-    )
+    words = records.select(key, F.explode(F.concat(weighted(title, TITLE_WEIGHT), weighted(body, BODY_WEIGHT))).alias("x")).select(key, "x.word", "x.w")
     scores = words.join(asked, "word").groupBy(query_key, key).agg(
         F.round(F.sum("w"), digits).alias("score"))
     order = W.partitionBy(query_key).orderBy(F.desc("score"), key)

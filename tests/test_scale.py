@@ -9,7 +9,7 @@ from conftest import rows
 import __spark_entry__ as entry
 import check
 from sparkwarden.harness import views
-from sparkwarden.operators import evaluation, graph, retrieval
+from sparkwarden.operators import evaluation, graph, retrieval, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,3 +130,12 @@ def test_repeated_links_are_cut_before_they_meet(spark):
     found = retrieval.bfs_context(links, starts, 2, 4)
     assert rows(found, "position", "node_id") == [(0, "hub"), (1, "n0000"), (2, "n0001"), (3, "n0002")]
     assert most_rows(found, "shuffleRecordsWritten") < 1000
+
+
+def test_batch_search_counts_words_in_their_record(spark):
+    """A record gives a row per distinct word, not per word; the words of all records never meet in one table."""
+    records = spark.createDataFrame([(1, "a", "a b " * 2000), (2, "b", "B"), (3, None, None), (3, "a a", "c")], "id int, title string, description string")
+    queries = spark.createDataFrame([(7, "a c"), (8, "b"), (9, "")], "query_id int, query string")
+    found = search.fulltext_topk_batch(records, queries)
+    assert rows(found, "query_id", "id", "score", "rank") == [(7, 1, 801.0, 0), (7, 3, 2.4, 1), (8, 1, 800.0, 0), (8, 2, 1.4, 1)]
+    assert most_rows(found) < 20
