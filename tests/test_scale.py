@@ -139,3 +139,11 @@ def test_batch_search_counts_words_in_their_record(spark):
     found = search.fulltext_topk_batch(records, queries)
     assert rows(found, "query_id", "id", "score", "rank") == [(7, 1, 801.0, 0), (7, 3, 2.4, 1), (8, 1, 800.0, 0), (8, 2, 1.4, 1)]
     assert most_rows(found) < 20
+
+
+def test_band_join_repeats_no_finding(spark):
+    found = spark.range(300).selectExpr("'r' AS repo", "'f' AS file_path", "CAST(id AS INT) AS line", "id AS finding_id")
+    near = spark.createDataFrame([("r", "f", 150, 1)], "repo string, file_path string, line int, candidate_id long")
+    pairs = evaluation.band_join(near, found, 5)
+    assert sorted(r["f_line"] for r in pairs.collect()) == list(range(145, 156))
+    assert most_rows(evaluation.band_join(near, found, 5)) <= 300
