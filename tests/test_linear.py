@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 from sparkwarden.functions.runs import match_positions, match_spans, running
+from sparkwarden.functions.text import lines_of
 
 
 def places(text, pattern):
@@ -43,3 +44,16 @@ def test_four_times_the_matches_take_about_four_times(spark):
 
     seconds(1000)
     assert seconds(64_000) < 6 * seconds(16_000) + 1
+
+
+def test_running_at_the_size_of_a_block(spark):
+    for n in (0, 1, 47, 48, 49, 97):
+        df = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")) if n else F.array().cast("array<bigint>")).toDF("v")
+        assert df.select(running(F.col("v")).alias("r")).first()[0] == [i * (i + 1) // 2 for i in range(n)]
+
+
+def test_lines_of_any_line_end(spark):
+    texts = ["", "\n", "a", "a\n", "a\n\n", "a\r\n", "a\r\nb", "a\rb\n", "a\nb\r\n", "é\n👍", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(lines_of("t").alias("x")).collect()
+    want = [[], [""], ["a"], ["a"], ["a", ""], ["a"], ["a", "b"], ["a\rb"], ["a", "b"], ["é", "👍"], None]
+    assert [r["x"] for r in got] == want
